@@ -26,8 +26,8 @@ from cairn.llm.words import WordHashes, mix, words
 BITS = 10
 #: Item words up to which the items go to every worker; beyond, keys are joined by a shuffle.
 BROADCAST_WORDS = 4_000_000
-#: Words of a corpus text embedded at once.
-BLOCK = 200_000
+#: Windows embedded at once, and characters of corpus texts laid end to end.
+BLOCK, PIECE = 100_000, 500_000
 
 _KNOWN = WordHashes()
 
@@ -50,30 +50,36 @@ def _plan(window: int, bits: int, reps: int) -> tuple[tuple[np.ndarray, np.ndarr
     return tuple((rng.integers(0, 1 << 63, 3 * window, dtype=np.uint64), np.sort(rng.choice(3 * window, min(bits, 3 * window), replace=False))) for _ in range(reps))
 
 
-def window_keys(h: np.ndarray, window: int, steps: np.ndarray, sampled: np.ndarray) -> np.ndarray:
-    """The key of every window of ``window`` consecutive words of ``h`` for one repetition."""
-    n = len(h) - window + 1
-    if n < 1:
+def window_keys(h: np.ndarray, starts: np.ndarray, window: int, steps: np.ndarray, sampled: np.ndarray) -> np.ndarray:
+    """The keys, for one repetition, of the windows of ``window`` words of ``h`` at ``starts``."""
+    if not len(starts):
         return np.zeros(0, np.uint64)
     wanted = set(sampled.tolist())
-    start = np.arange(n, dtype=np.int32)
-    at, key = start.copy(), np.zeros(n, np.uint64)
-    last = start + (window - 1)
-    small = h.astype(np.uint64)
+    at, last, key = starts.copy(), starts + (window - 1), np.zeros(len(starts), np.uint64)
     with np.errstate(over="ignore"):
+        # one pseudo-random bit of the step and the word: does the walk advance?
         for j in range(int(sampled[-1]) + 1):
-            over = at > last
-            symbol = small[np.minimum(at, last)]
-            if over.any():
-                symbol[over] = 0  # past the end the walk writes a pad
+            symbol = h[np.minimum(at, last)]
+            if j >= window:
+                symbol[at > last] = 0  # past the end the walk writes a pad
             if j in wanted:
-                key = (key ^ symbol) * np.uint64(0x9E3779B97F4A7C15)
+                key ^= symbol
+                key *= np.uint64(0x9E3779B97F4A7C15)
                 key ^= key >> np.uint64(29)
-            # one pseudo-random bit of the step and the word
-            at += (((symbol ^ steps[j]) * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(63)).astype(np.int32)
+            symbol ^= steps[j]
+            symbol *= np.uint64(0xD6E8FEB86659FD93)
+            symbol >>= np.uint64(63)
+            at += symbol.view(np.int64)
     return mix(key)
 
 
+def _starts(lengths: list[int], window: int) -> np.ndarray:
+    """Where windows begin in texts laid end to end; none spans two texts."""
+    first = np.concatenate([[0], np.cumsum(lengths)[:-1]]) if lengths else np.zeros(0)
+    parts = [np.arange(f, f + n - window + 1) for f, n in zip(first.astype(np.int64), lengths) if n >= window]
+    return np.concatenate(parts) if parts else np.zeros(0, np.int64)
+
+
 def edit_distance(a: list, b: list, most: int) -> int:
     """Edits between two word lists, or ``most`` + 1 if there are more."""
     if abs(len(a) - len(b)) > most:
@@ -95,43 +101,55 @@ class _Items:
     def __init__(self, rows: list[tuple], window: int, edits: int, bits: int, reps: int):
         self.window, self.edits = window, edits
         self.plan = _plan(window, bits, reps)
-        self.words = [words(t) for _, t in rows]
         self.ids = [i for i, _ in rows]
-        self.by_key: list[dict[int, list[tuple[int, int]]]] = []
-        self.maps, self.keys = [], []
-        hashed = [np.fromiter(map(_KNOWN.__getitem__, w), np.uint64, len(w)) for w in self.words]
+        self.words = [words(t) for _, t in rows]
+        flat = [w for x in self.words for w in x]
+        starts = _starts([len(x) for x in self.words], window)
+        item = np.repeat(np.arange(len(rows)), [max(0, len(x) - window + 1) for x in self.words])
+        self.windows = [flat[p : p + window] for p in starts.tolist()]
+        self.sets = [frozenset(x) for x in self.windows] if edits else []
+        self.item = item.tolist()
+        h = np.fromiter(map(_KNOWN.__getitem__, flat), np.uint64, len(flat))
+        self.by_key: list[dict[int, list[int]]] = []
+        self.maps = []
         for steps, sampled in self.plan:
             table = defaultdict(list)
-            for n, h in enumerate(hashed):
-                for p, k in enumerate(window_keys(h, window, steps, sampled).tolist()):
-                    table[k].append((n, p))
+            for n, k in enumerate(window_keys(h, starts, window, steps, sampled).tolist()):
+                table[k].append(n)
             self.by_key.append(table)
-            keys = np.fromiter(table, np.uint64, len(table))
-            bits_ = np.zeros(1 << 22, bool)  # a first look, before the exact one
-            bits_[keys & np.uint64((1 << 22) - 1)] = True
-            self.maps.append(bits_)
-
-    def leaked(self, text: str | None) -> list[tuple]:
-        """``(item_id, windows)`` of the items with a window within the edits in ``text``."""
-        found = words(text)
-        if len(found) < self.window:
-            return []
-        hits: dict[int, set[int]] = defaultdict(set)
-        w = self.window
-        h = np.fromiter(map(_KNOWN.__getitem__, found), np.uint64, len(found))
-        for at in range(0, len(h) - w + 1, BLOCK):
-            part = h[at : at + BLOCK + w - 1]
-            for (steps, sampled), table, seen in zip(self.plan, self.by_key, self.maps):
-                keys = window_keys(part, w, steps, sampled)
-                for i in np.flatnonzero(seen[keys & np.uint64((1 << 22) - 1)]):
-                    for n, p in table.get(int(keys[i]), ()):
-                        start = at + int(i)
-                        if start in hits[n]:
-                            continue
-                        a, b = found[start : start + w], self.words[n][p : p + w]
-                        if a == b or self.edits and edit_distance(a, b, self.edits) <= self.edits:
-                            hits[n].add(start)
-        return [(self.ids[n], len(s)) for n, s in hits.items() if s]
+            first = np.zeros(1 << 22, bool)  # a first look, before the exact one
+            first[np.fromiter(table, np.uint64, len(table)) & np.uint64((1 << 22) - 1)] = True
+            self.maps.append(first)
+
+    def _near(self, found: list[str], n: int) -> bool:
+        own = self.windows[n]
+        if found == own:
+            return True
+        # an edit takes away at most one of the window's distinct words
+        return bool(self.edits) and len(self.sets[n].intersection(found)) >= len(self.sets[n]) - self.edits and edit_distance(found, own, self.edits) <= self.edits
+
+    def leaked(self, texts: list[str | None]) -> list[tuple]:
+        """``(text's index, item_id, windows)`` of the items with a window within the edits."""
+        found = [words(t) for t in texts]
+        lengths = [len(x) for x in found]
+        flat = [w for x in found for w in x]
+        h = np.fromiter(map(_KNOWN.__getitem__, flat), np.uint64, len(flat))
+        starts, ends = _starts(lengths, self.window), np.cumsum(lengths)
+        hits: dict[int, set[int]] = defaultdict(set)  # item -> starts
+        for a in range(0, len(starts), BLOCK):
+            part = starts[a : a + BLOCK]
+            for (steps, sampled), table, first in zip(self.plan, self.by_key, self.maps):
+                keys = window_keys(h, part, self.window, steps, sampled)
+                for i in np.flatnonzero(first[keys & np.uint64((1 << 22) - 1)]):
+                    p = int(part[i])
+                    for n in table.get(int(keys[i]), ()):
+                        if p not in hits[self.item[n]] and self._near(flat[p : p + self.window], n):
+                            hits[self.item[n]].add(p)
+        out = []
+        for n, where in hits.items():
+            texts_, counts = np.unique(np.searchsorted(ends, np.fromiter(where, np.int64, len(where)), side="right"), return_counts=True)
+            out += [(t, self.ids[n], c) for t, c in zip(texts_.tolist(), counts.tolist())]
+        return out
 
 
 _READY: dict = {}
@@ -161,8 +179,8 @@ def leaks(documents: DataFrame, items: DataFrame, window: int = 12, edits: int =
             if _READY.get("of") is not shared:
                 _READY.update(of=shared, items=_Items(shared.value, window, edits, bits, reps))
             ready = _READY["items"]
-            for batch in batches:
-                out = [(d, i, n) for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for i, n in ready.leaked(t)]
+            for batch, ids, texts in _pieces(batches):
+                out = [(ids[t], i, n) for t, i, n in ready.leaked(texts)]
                 yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], type_) for k, type_ in enumerate((batch.schema.field(0).type, item_type, pa.int64()))], ["doc_id", "item_id", "windows"])
 
         found = docs.mapInArrow(run, kinds)
@@ -174,13 +192,25 @@ def leaks(documents: DataFrame, items: DataFrame, window: int = 12, edits: int =
             for batch in batches:
                 out = []
                 for d, i, dt, it in zip(*(c.to_pylist() for c in batch.columns)):
-                    out += [(d, *x) for x in _Items([(i, it)], window, edits, bits, reps).leaked(dt)]
+                    out += [(d, *x[1:]) for x in _Items([(i, it)], window, edits, bits, reps).leaked([dt])]
                 yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], type_) for k, type_ in enumerate((batch.schema.field(0).type, batch.schema.field(1).type, pa.int64()))], ["doc_id", "item_id", "windows"])
 
         found = both.mapInArrow(check, kinds)
     return found.groupBy("doc_id", "item_id").agg(F.max("windows").alias("windows"))
 
 
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list, list]]:
+    """Batches in pieces of about PIECE characters, so that many short texts share the array work."""
+    for batch in batches:
+        ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+        at = size = 0
+        for i, t in enumerate(texts):
+            size += len(t or "")
+            if size >= PIECE or i == len(texts) - 1:
+                yield batch, ids[at : i + 1], texts[at : i + 1]
+                at, size = i + 1, 0
+
+
 def _arrow(df: DataFrame, column: str) -> pa.DataType:
     return {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[df.schema[column].dataType.simpleString()]
 
@@ -193,9 +223,10 @@ def _keyed(rows: DataFrame, id_col: str, window: int, bits: int, reps: int) -> D
             for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 found = words(t)
                 h = np.fromiter(map(_KNOWN.__getitem__, found), np.uint64, len(found))
+                starts = _starts([len(h)], window)
                 for rep, (steps, sampled) in enumerate(_plan(window, bits, reps)):
-                    for at in range(0, max(0, len(h) - window + 1), BLOCK):
-                        keys = np.unique(window_keys(h[at : at + BLOCK + window - 1], window, steps, sampled)).view(np.int64)
+                    for at in range(0, len(starts), BLOCK):
+                        keys = np.unique(window_keys(h, starts[at : at + BLOCK], window, steps, sampled)).view(np.int64)
                         yield pa.RecordBatch.from_arrays([pa.array([i] * len(keys), batch.schema.field(0).type), pa.array(np.full(len(keys), rep, np.int32)), pa.array(keys)], [id_col, "rep", "key"])
 
     return rows.select(id_col, "text").mapInArrow(run, f"{id_col} {rows.schema[id_col].dataType.simpleString()}, rep int, key long")
