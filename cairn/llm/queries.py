@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from cairn.llm.garbled import restore
 from cairn.llm.leaks import leaks
 from cairn.llm.near_duplicates import similar_pairs
 from cairn.llm.tokenizer import decode_ids, encode_texts
@@ -36,7 +37,15 @@ def p9_near(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "eval_items"), window=16, edits=1)
 
 
-QUERIES = {"p2_found": p2_found, "p8_ids": p8_ids, "p8_round_trip": p8_round_trip, "p9_found": p9_found, "p9_near": p9_near}
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return restore(read(spark, sf_dir, "documents")).select("doc_id").distinct()
+
+
+def p10_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return restore(read(spark, sf_dir, "documents"))
+
+
+QUERIES = {"p2_found": p2_found, "p8_ids": p8_ids, "p8_round_trip": p8_round_trip, "p9_found": p9_found, "p9_near": p9_near, "p10_found": p10_found, "p10_restored": p10_restored}
 
 SQL = {
     "p8_round_trip": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
