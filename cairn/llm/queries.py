@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from cairn.llm.garbled import restore
 from cairn.llm.leaks import leaks
 from cairn.llm.near_duplicates import similar_pairs
+from cairn.llm.splitting import split_items
 from cairn.llm.tokenizer import decode_ids, encode_texts
 from cairn.operators.current import current_rows
 from cairn.session import read
@@ -21,6 +22,14 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.selectExpr("id_a AS chunk_a", "id_b AS chunk_b")
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return split_items(read(spark, sf_dir, "pdf_chunk")).select("item_id").distinct()
+
+
+def p5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return split_items(read(spark, sf_dir, "pdf_chunk"))
+
+
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_texts(read(spark, sf_dir, "documents"))
 
@@ -45,8 +54,9 @@ def p10_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return restore(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {"p2_found": p2_found, "p8_ids": p8_ids, "p8_round_trip": p8_round_trip, "p9_found": p9_found, "p9_near": p9_near, "p10_found": p10_found, "p10_restored": p10_restored}
+QUERIES = {"p2_found": p2_found, "p5_found": p5_found, "p5_pieces": p5_pieces, "p8_ids": p8_ids, "p8_round_trip": p8_round_trip, "p9_found": p9_found, "p9_near": p9_near, "p10_found": p10_found, "p10_restored": p10_restored}
 
 SQL = {
+    "p5_found": r"SELECT DISTINCT item_id FROM pdf_chunk WHERE item_id IS NOT NULL AND length(trim(regexp_replace(text, '[ \t\n\x0B\f\r]+', ' ', 'g'), ' ')) > 1500",
     "p8_round_trip": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
 }
