@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from cairn.llm.garbled import restore
 from cairn.llm.leaks import leaks
 from cairn.llm.near_duplicates import similar_pairs
 from cairn.llm.splitting import split_items
 from cairn.llm.tokenizer import decode_ids, encode_texts
+from cairn.llm.vectors import nearest_vectors
 from cairn.operators.current import current_rows
 from cairn.session import read
 
@@ -30,6 +32,20 @@ def p5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split_items(read(spark, sf_dir, "pdf_chunk"))
 
 
+def _embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "delta_embeddings").where(F.col("modelVersion") == "1.1")
+    return current_rows(rows, ["chunkId"], "embedded_ts", ["chunkId", "embedding"])
+
+
+def p7_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest_vectors(_embeddings(spark, sf_dir), k=5)
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    near = p7_neighbours(spark, sf_dir)
+    return near.select(F.least("id", "neighbour").alias("chunk_a"), F.greatest("id", "neighbour").alias("chunk_b")).distinct()
+
+
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_texts(read(spark, sf_dir, "documents"))
 
@@ -54,7 +70,7 @@ def p10_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return restore(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {"p2_found": p2_found, "p5_found": p5_found, "p5_pieces": p5_pieces, "p8_ids": p8_ids, "p8_round_trip": p8_round_trip, "p9_found": p9_found, "p9_near": p9_near, "p10_found": p10_found, "p10_restored": p10_restored}
+QUERIES = {"p2_found": p2_found, "p5_found": p5_found, "p5_pieces": p5_pieces, "p7_found": p7_found, "p7_neighbours": p7_neighbours, "p8_ids": p8_ids, "p8_round_trip": p8_round_trip, "p9_found": p9_found, "p9_near": p9_near, "p10_found": p10_found, "p10_restored": p10_restored}
 
 SQL = {
     "p5_found": r"SELECT DISTINCT item_id FROM pdf_chunk WHERE item_id IS NOT NULL AND length(trim(regexp_replace(text, '[ \t\n\x0B\f\r]+', ' ', 'g'), ' ')) > 1500",
