@@ -6,13 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairn.llm.garbled import restore
+from cairn.llm import languages
 from cairn.llm.leaks import leaks
 from cairn.llm.near_duplicates import similar_pairs
 from cairn.llm.splitting import split_items
 from cairn.llm.tokenizer import decode_ids, encode_texts
 from cairn.llm.vectors import nearest_vectors
 from cairn.operators.current import current_rows
-from cairn.session import read
+from cairn.session import read, work_table
 
 
 def _chunks(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
@@ -32,6 +33,28 @@ def p5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split_items(read(spark, sf_dir, "pdf_chunk"))
 
 
+def _languages(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    docs = read(spark, sf_dir, "delta_pdf_docs")
+    profiles = languages.fit(docs)
+    found = languages.passages(_chunks(spark, sf_dir, "docId", "chunkText"), profiles, "chunkId", "docId", "chunkText")
+    return docs, work_table(found, "passages")
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, found = _languages(spark, sf_dir)
+    current = current_rows(docs, ["docId"], "extracted_ts", ["docId", "language"])
+    wrong = languages.mislabelled(current, found).select(F.lit("doc").alias("unit"), "id", "lang")
+    return wrong.unionByName(languages.mixed(found).select(F.lit("chunk").alias("unit"), "id", "lang"))
+
+
+def p6_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return languages.document_languages(_languages(spark, sf_dir)[1]).withColumnRenamed("owner", "docId")
+
+
+def p6_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _languages(spark, sf_dir)[1].select(F.col("id").alias("chunkId"), F.inline("segments"))
+
+
 def _embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read(spark, sf_dir, "delta_embeddings").where(F.col("modelVersion") == "1.1")
     return current_rows(rows, ["chunkId"], "embedded_ts", ["chunkId", "embedding"])
@@ -70,7 +93,7 @@ def p10_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return restore(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {"p2_found": p2_found, "p5_found": p5_found, "p5_pieces": p5_pieces, "p7_found": p7_found, "p7_neighbours": p7_neighbours, "p8_ids": p8_ids, "p8_round_trip": p8_round_trip, "p9_found": p9_found, "p9_near": p9_near, "p10_found": p10_found, "p10_restored": p10_restored}
+QUERIES = {"p2_found": p2_found, "p5_found": p5_found, "p5_pieces": p5_pieces, "p6_found": p6_found, "p6_documents": p6_documents, "p6_segments": p6_segments, "p7_found": p7_found, "p7_neighbours": p7_neighbours, "p8_ids": p8_ids, "p8_round_trip": p8_round_trip, "p9_found": p9_found, "p9_near": p9_near, "p10_found": p10_found, "p10_restored": p10_restored}
 
 SQL = {
     "p5_found": r"SELECT DISTINCT item_id FROM pdf_chunk WHERE item_id IS NOT NULL AND length(trim(regexp_replace(text, '[ \t\n\x0B\f\r]+', ' ', 'g'), ' ')) > 1500",
