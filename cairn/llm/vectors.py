@@ -209,28 +209,27 @@ def nearest_vectors(vectors: DataFrame, k: int = 5, id_col: str = "chunkId", vec
     ``fit_rows`` vectors; every vector is indexed and is a query. Extra columns are never read.
     """
     spark = vectors.sparkSession
-    rows = work_table(usable(vectors, id_col, vector, width).select("id", "vec", F.xxhash64("vec").alias("k1"), F.xxhash64(F.lit(1), "vec").alias("k2")), "vectors")
-    sizes = rows.groupBy("k1", "k2").agg(F.min("id").alias("node"), F.count(F.lit(1)).alias("n"))
-    classes = work_table(sizes, "classes")
+    rows = usable(vectors, id_col, vector, width).select("id", "vec", F.xxhash64("vec").alias("k1"), F.xxhash64(F.lit(1), "vec").alias("k2"))
+    kind = rows.schema["id"].dataType.simpleString()
+    # Equal vectors are one node; nodes are numbered once, in a written table.
+    first = rows.groupBy("k1", "k2").agg(F.min(F.struct("id", "vec")).alias("f"), F.count(F.lit(1)).alias("n"))
+    classes = work_table(first.select(F.monotonically_increasing_id().alias("node"), "k1", "k2", F.col("f.id").alias("id"), "n", F.col("f.vec").alias("vec")), "classes")
     total = classes.count()
-    schema = f"id {rows.schema['id'].dataType.simpleString()}, neighbour {rows.schema['id'].dataType.simpleString()}, similarity double, place int"
     if not total:
-        return spark.createDataFrame([], schema)
-    nodes = rows.join(classes.select("k1", "k2", F.col("node").alias("id")), ["k1", "k2", "id"]).select("id", "vec")
-    sample = nodes.orderBy(F.xxhash64("id")).limit(fit_rows).select("vec").toArrow()
+        return spark.createDataFrame([], f"id {kind}, neighbour {kind}, similarity double, place int")
+    sample = classes.orderBy(F.xxhash64("id")).limit(fit_rows).select("vec").toArrow()
     centroids = fit_centroids(units(_matrix(sample.column(0), width)), max(1, -(-total // shard))).astype(np.float32)
     shared = spark.sparkContext.broadcast(centroids)
     visit = min(probes, len(centroids))
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            s = units(_matrix(batch.column(1), width)).astype(np.float32) @ shared.value.T
-            top = np.argsort(-s, axis=1, kind="stable")[:, :visit].astype(np.int32)
-            offsets = np.arange(len(s) + 1, dtype=np.int32) * visit
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(top[:, 0].copy()), pa.ListArray.from_arrays(offsets, top.ravel())], ["id", "vec", "home", "visits"])
+            u = units(_matrix(batch.column(1), width))
+            top = np.argsort(-(u.astype(np.float32) @ shared.value.T), axis=1, kind="stable")[:, :visit].astype(np.int32)
+            offsets = np.arange(len(u) + 1, dtype=np.int32) * visit
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in u], pa.binary()), pa.array(top[:, 0].copy()), pa.ListArray.from_arrays(offsets, top.ravel())], ["node", "unit", "home", "visits"])
 
-    kind = rows.schema["id"].dataType.simpleString()
-    placed = work_table(nodes.mapInArrow(assign, f"id {kind}, vec array<float>, home int, visits array<int>"), "placed")
+    placed = work_table(classes.select("node", "vec").mapInArrow(assign, "node long, unit binary, home int, visits array<int>"), "placed")
     # One number per shard.
     held = {r[0]: r[1] for r in placed.groupBy("home").count().collect()}
     asked = {r[0]: r[1] for r in placed.select(F.explode("visits").alias("s")).groupBy("s").count().collect()}
@@ -238,54 +237,60 @@ def nearest_vectors(vectors: DataFrame, k: int = 5, id_col: str = "chunkId", vec
     parts = spark.createDataFrame(plan, "shard int, parts int, blocks int")
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
-        u = units(np.stack(pdf["vec"].to_numpy()))
-        x, edges, pivots = build_graph(u)
-        return pd.DataFrame({"shard": [pdf["shard"].iloc[0]], "part": [pdf["part"].iloc[0]], "ids": [pdf["id"].to_numpy()], "units": [u.tobytes()], "edges": [edges.tobytes()], "pivots": [pivots.tobytes()]})
-
-    mine = placed.join(F.broadcast(parts), placed["home"] == parts["shard"]).select("shard", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"), "id", "vec")
-    graphs = work_table(mine.groupBy("shard", "part").applyInPandas(build, f"shard int, part int, ids array<{kind}>, units binary, edges binary, pivots binary"), "graphs")
-    ask = placed.select("id", "vec", F.explode("visits").alias("shard")).join(F.broadcast(parts), "shard")
-    ask = ask.select("shard", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"), "id", "vec")
+        u = _stack(pdf["unit"], width)
+        _, edges, pivots = build_graph(u)
+        return pd.DataFrame({"shard": [pdf["shard"].iloc[0]], "part": [pdf["part"].iloc[0]], "nodes": [pdf["node"].to_numpy().tobytes()], "units": [u.tobytes()], "edges": [edges.tobytes()], "pivots": [pivots.tobytes()]})
+
+    mine = placed.join(F.broadcast(parts), placed["home"] == parts["shard"]).select("shard", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("part"), "node", "unit")
+    graphs = work_table(mine.groupBy("shard", "part").applyInPandas(build, "shard int, part int, nodes binary, units binary, edges binary, pivots binary"), "graphs")
+    ask = placed.select("node", "unit", F.explode("visits").alias("shard")).join(F.broadcast(parts), "shard")
+    ask = ask.select("shard", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"), "node", "unit")
     ready = graphs.join(F.broadcast(parts), "shard").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
 
     def answer(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
-            return pd.DataFrame({"id": [], "neighbour": [], "similarity": np.zeros(0)})
+            return pd.DataFrame({"node": np.zeros(0, np.int64), "other": np.zeros(0, np.int64), "similarity": np.zeros(0)})
         g = right.iloc[0]
-        ids = np.asarray(g["ids"], dtype=object)
+        nodes = np.frombuffer(g["nodes"], np.int64)
         u = np.frombuffer(g["units"], np.float64).reshape(-1, width)
         edges = np.frombuffer(g["edges"], np.int32).reshape(len(u) + 1, -1)
         x = np.concatenate([u.astype(np.float32), np.zeros((1, width), np.float32)])
-        place = {v: i for i, v in enumerate(ids)}
-        own = np.array([place.get(v, -1) for v in left["id"]], np.int64)
-        q = units(np.stack(left["vec"].to_numpy()))
-        found, _ = query_graph(x, edges, np.frombuffer(g["pivots"], np.int32), q, own, k + 3, beam)
-        at, slot = np.nonzero(found >= 0)
-        to = found[at, slot]
-        return pd.DataFrame({"id": left["id"].to_numpy()[at], "neighbour": ids[to], "similarity": np.einsum("ij,ij->i", q[at], u[to]).round(12)})
+        asker = left["node"].to_numpy()
+        by = np.argsort(nodes)
+        at = np.minimum(np.searchsorted(nodes, asker, sorter=by), len(nodes) - 1)
+        own = np.where(nodes[by[at]] == asker, by[at], -1)
+        q = _stack(left["unit"], width)
+        found, _ = query_graph(x, edges, np.frombuffer(g["pivots"], np.int32), q, own, k + 1, beam)
+        row, slot = np.nonzero(found >= 0)
+        to = found[row, slot]
+        return pd.DataFrame({"node": asker[row], "other": nodes[to], "similarity": np.einsum("ij,ij->i", q[row], u[to]).round(12)})
+
+    near = ask.groupBy("shard", "part", "block").cogroup(ready.groupBy("shard", "part", "block")).applyInPandas(answer, "node long, other long, similarity double")
+    return _put_back(work_table(near, "near"), rows, classes.drop("vec"), k)
+
 
-    near = ask.groupBy("shard", "part", "block").cogroup(ready.groupBy("shard", "part", "block")).applyInPandas(answer, f"id {kind}, neighbour {kind}, similarity double")
-    return _put_back(work_table(near, "near"), rows, classes, k).selectExpr("id", "neighbour", "similarity", "CAST(place AS INT) AS place")
+def _stack(column: pd.Series, width: int) -> np.ndarray:
+    return np.frombuffer(b"".join(column), np.float64).reshape(-1, width)
 
 
 def _put_back(near: DataFrame, rows: DataFrame, classes: DataFrame, k: int) -> DataFrame:
     """From nodes to ids: equal vectors are each other's nearest, and stand in for their node."""
-    multi = classes.where("n > 1")
-    w = Window.partitionBy("k1", "k2").orderBy("id")
+    multi = classes.where("n > 1").select("k1", "k2", "node")
+    members = work_table(rows.select("k1", "k2", "id").join(multi, ["k1", "k2"]).select("node", "id"), "members")
+    w = Window.partitionBy("node").orderBy("id")
     # The window's limit is applied before the shuffle too, so a huge class ships few ids a task.
-    few = rows.select("k1", "k2", "id").join(multi.select("k1", "k2", "node"), ["k1", "k2"]).withColumn("r", F.row_number().over(w)).where(F.col("r") <= k + 1).select("node", F.col("id").alias("member"))
-    groups = few.groupBy("node").agg(F.collect_list("member").alias("members"))
-    # the best k + 1 of a node: more can't be needed, whichever of its ids is left out
-    joined = near.join(groups.withColumnRenamed("node", "neighbour"), "neighbour", "left")
-    entries = joined.select("id", F.explode(F.coalesce("members", F.array("neighbour"))).alias("other"), "similarity")
-    own = groups.select(F.col("node").alias("id"), F.explode("members").alias("other"), F.lit(1.0).alias("similarity"))
+    groups = members.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k + 1).groupBy("node").agg(F.collect_list("id").alias("ids"))
+    single = classes.where("n = 1").select("node", F.array("id").alias("ids"))
+    names = single.unionByName(groups)
+    entries = near.join(names.withColumnRenamed("node", "other"), "other").select("node", F.explode("ids").alias("id"), "similarity")
+    own = groups.select("node", F.explode("ids").alias("id"), F.lit(1.0).alias("similarity"))
+    # A node's candidates are few: its shards' answers. No more than the best k + 1 can be needed.
     best = (
         entries.unionByName(own)
-        .groupBy("id")
-        .agg(F.collect_set(F.struct((-F.col("similarity")).alias("d"), F.col("other"))).alias("all"))
-        .select(F.col("id").alias("node"), F.slice(F.sort_array("all"), 1, 2 * (k + 1)).alias("best"))
+        .groupBy("node")
+        .agg(F.collect_set(F.struct((-F.col("similarity")).alias("d"), F.col("id"))).alias("all"))
+        .select("node", F.slice(F.sort_array("all"), 1, k + 1).alias("best"))
     )
-    single = classes.where("n = 1").select("node", F.col("node").alias("id"))
-    ids = single.unionByName(rows.select("k1", "k2", "id").join(multi.select("k1", "k2", "node"), ["k1", "k2"]).select("node", "id"))
-    picked = ids.join(best, "node").select("id", F.slice(F.filter("best", lambda b: b.other != F.col("id")), 1, k).alias("best"))
-    return picked.select("id", F.posexplode("best").alias("p", "b")).select("id", F.col("b.other").alias("neighbour"), (-F.col("b.d")).alias("similarity"), (F.col("p") + 1).alias("place"))
+    ids = classes.where("n = 1").select("node", "id").unionByName(members)
+    picked = ids.join(best, "node").select("id", F.slice(F.filter("best", lambda b: b.id != F.col("id")), 1, k).alias("best"))
+    return picked.select("id", F.posexplode("best").alias("p", "b")).select("id", F.col("b.id").alias("neighbour"), (-F.col("b.d")).alias("similarity"), (F.col("p") + 1).cast("int").alias("place"))
