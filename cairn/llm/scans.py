@@ -161,16 +161,17 @@ def corrections(words: DataFrame, least: int = LEAST_COUNT, ratio: int = RATIO)
 
     Ranked by fewest confusions, then by the frequency of the word it becomes, then by that word.
     """
-    spark = words.sparkSession
     latin = words.where(rf"length(word) BETWEEN {SHORTEST - 1} AND 40 AND word RLIKE '^[0-9@a-zß-öø-ɏ]+$'").withColumn("value", anagram_value(F.col("word")))
     frequent = latin.where((F.col("n") >= least) & F.col("word").rlike("^[^0-9@]+$")).select(F.col("word").alias("right"), F.col("n").alias("many"), (F.col("capital") / F.col("n")).alias("right_capital"), "value")
     rare = latin.where(f"length(word) >= {SHORTEST}").select(F.col("word").alias("wrong"), "n", (F.col("capital") / F.col("n")).alias("capital"), "value")
     single = [([w], [r], 1) for w, r in CONFUSIONS]
     double = [([a[0], b[0]], [a[1], b[1]], 2) for a, b in itertools.combinations_with_replacement(CONFUSIONS, 2)]
     table = [(w, r, k, sum(map(_value, r)) - sum(map(_value, w))) for w, r, k in single + double]
-    steps = F.broadcast(spark.createDataFrame(table, "w array<string>, r array<string>, changes int, step long"))  # of fixed size
-    possible = (F.instr("wrong", F.col("w")[0]) > 0) & ((F.col("changes") == 1) | (F.length("wrong") >= SHORTEST_TWICE) & (F.instr("wrong", F.col("w")[1]) > 0))
-    shifted = rare.join(steps, possible).select("wrong", "n", "capital", "w", "r", "changes", (F.col("value") + F.col("step")).alias("value"))
+    # The table of differences is of fixed size and a literal: each word is shifted where it can be.
+    steps = F.array(*[F.struct(F.array(*map(F.lit, w)).alias("w"), F.array(*map(F.lit, r)).alias("r"), F.lit(k).alias("changes"), F.lit(d).cast("long").alias("step")) for w, r, k, d in table])
+    wrong, long_enough = F.col("wrong"), F.length("wrong") >= SHORTEST_TWICE
+    possible = F.filter(steps, lambda s: (F.instr(wrong, s.w[0]) > 0) & ((s.changes == 1) | long_enough & (F.instr(wrong, F.element_at(s.w, -1)) > 0)))
+    shifted = rare.select("wrong", "n", "capital", "value", F.inline(possible)).select("wrong", "n", "capital", "w", "r", "changes", (F.col("value") + F.col("step")).alias("value"))
     hits = shifted.join(frequent, "value").where((F.col("many") >= F.col("n") * ratio) & (F.col("wrong") != F.col("right")))
     # misreading keeps the case: what is mostly capitalised, unlike its correction, is a name
     hits = hits.where(~((F.col("capital") > NAME) & (F.col("right_capital") < ORDINARY)))
