@@ -186,3 +186,41 @@ def similar_pairs(texts: DataFrame, id_col: str = "chunkId", owner: str = "docId
     within = copies.toDF("cls", "x", "ox").join(copies.toDF("cls", "y", "oy"), "cls").where("x < y").select("x", "ox", "y", "oy", F.lit(1.0).alias("similarity"))
     pairs = across.unionByName(within).where("ox IS NULL OR oy IS NULL OR ox <> oy")
     return pairs.select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"), "similarity")
+
+
+def components(links: DataFrame, a: str = "a", b: str = "b", most_rounds: int = 50) -> DataFrame:
+    """``(node, root)`` of every linked node: the smallest node that links lead to.
+
+    Each round gives a node the smallest root among its own and its neighbours', and then that
+    root's root, so a chain takes a logarithmic number of rounds. Rounds are written tables.
+    """
+    edges = links.select(F.col(a).alias("x"), F.col(b).alias("y")).where("x <> y")
+    edges = work_table(edges.unionByName(edges.selectExpr("y AS x", "x AS y")).distinct(), "edges")
+    roots = work_table(edges.groupBy("x").agg(F.min("y").alias("m")).select(F.col("x").alias("node"), F.least("x", "m").alias("root")), "roots")
+    for _ in range(most_rounds):
+        near = edges.join(roots.select(F.col("node").alias("y"), "root"), "y").groupBy("x").agg(F.min("root").alias("r"))
+        step = roots.join(near, roots["node"] == near["x"]).select("node", F.col("root").alias("old"), F.least("root", "r").alias("root"))
+        up = step.select(F.col("node").alias("up"), F.col("root").alias("top"))
+        jumped = step.join(up, step["root"] == up["up"], "left").select("node", "old", F.least("root", "top").alias("root"))
+        done = work_table(jumped, "roots")
+        roots = done.select("node", "root")
+        if done.where("old <> root").isEmpty():
+            return roots
+    raise RuntimeError(f"the links' components take more than {most_rounds} rounds")
+
+
+def groups(texts: DataFrame, id_col: str = "chunkId", owner: str = "docId", text: str = "chunkText", **options) -> DataFrame:
+    """``(id, group, links)`` of every row with a non-empty shingle set.
+
+    ``group`` is the smallest id among all that links, directly or over others, lead to; it is
+    the row's own id where there is none. ``links`` counts the other texts it is linked with;
+    copies share both and are not expanded.
+    """
+    members, links = similar_classes(texts, id_col, owner, text, **options)
+    links = work_table(links.select("a", "b"), "links")
+    counts = links.select(F.col("a").alias("cls")).unionByName(links.select(F.col("b").alias("cls"))).groupBy("cls").agg(F.count(F.lit(1)).alias("links"))
+    roots = components(links).select(F.col("node").alias("cls"), "root")
+    classes = members.groupBy("cls").agg(F.min("id").alias("first")).join(roots, "cls", "left").join(counts, "cls", "left")
+    classes = work_table(classes.select("cls", F.coalesce("root", "cls").alias("root"), "first", F.coalesce("links", F.lit(0)).alias("links")), "grouped")
+    names = classes.groupBy("root").agg(F.min("first").alias("group"))
+    return members.join(classes.select("cls", "root", "links"), "cls").join(names, "root").select("id", "group", "links")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from cairn.llm.garbled import restore
 from cairn.llm import languages
 from cairn.llm.leaks import leaks
-from cairn.llm.near_duplicates import similar_pairs
+from cairn.llm.near_duplicates import groups, similar_pairs
 from cairn.llm.scans import scan_noise
 from cairn.llm.splitting import split_items
 from cairn.llm.tokenizer import decode_ids, encode_texts
@@ -26,6 +26,10 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.selectExpr("id_a AS chunk_a", "id_b AS chunk_b")
 
 
+def p2_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return groups(_chunks(spark, sf_dir, "docId", "chunkText"), size=3, threshold=0.6)
+
+
 def _scans(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     titles = current_rows(read(spark, sf_dir, "delta_pdf_docs"), ["docId"], "extracted_ts", ["docId", "title"])
     return scan_noise(_chunks(spark, sf_dir, "docId", "chunkText"), titles)
@@ -107,7 +111,7 @@ def p10_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return restore(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {"p2_found": p2_found, "p4_found": p4_found, "p4_repaired": p4_repaired, "p5_found": p5_found, "p5_pieces": p5_pieces, "p6_found": p6_found, "p6_documents": p6_documents, "p6_segments": p6_segments, "p7_found": p7_found, "p7_neighbours": p7_neighbours, "p8_ids": p8_ids, "p8_round_trip": p8_round_trip, "p9_found": p9_found, "p9_near": p9_near, "p10_found": p10_found, "p10_restored": p10_restored}
+QUERIES = {"p2_found": p2_found, "p2_groups": p2_groups, "p4_found": p4_found, "p4_repaired": p4_repaired, "p5_found": p5_found, "p5_pieces": p5_pieces, "p6_found": p6_found, "p6_documents": p6_documents, "p6_segments": p6_segments, "p7_found": p7_found, "p7_neighbours": p7_neighbours, "p8_ids": p8_ids, "p8_round_trip": p8_round_trip, "p9_found": p9_found, "p9_near": p9_near, "p10_found": p10_found, "p10_restored": p10_restored}
 
 SQL = {
     "p5_found": r"SELECT DISTINCT item_id FROM pdf_chunk WHERE item_id IS NOT NULL AND length(trim(regexp_replace(text, '[ \t\n\x0B\f\r]+', ' ', 'g'), ' ')) > 1500",

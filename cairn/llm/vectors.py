@@ -19,8 +19,10 @@ from pyspark.sql import functions as F
 
 from cairn.session import work_table
 
-#: Vectors of a shard (twice as many and it is split), rows the centroids are fitted on, at most.
-SHARD, FIT_ROWS, FIT_ROUNDS = 4096, 20_000, 6
+#: Vectors of a shard, shards at most (which bounds what is broadcast), vectors of one graph.
+SHARD, MOST_SHARDS, PART = 4096, 8192, 16_384
+#: Rows the centroids are fitted on, at most, and rounds of fitting.
+FIT_ROWS, FIT_ROUNDS = 20_000, 6
 #: Edges of a node, beam widths for building and for queries, and the rule's slack in two passes.
 DEGREE, BUILD_BEAM, BEAM, SLACK = 24, 40, 48, (1.0, 1.2)
 #: Shards a query visits, nodes a step opens, queries that walk together.
@@ -206,7 +208,7 @@ def nearest_vectors(vectors: DataFrame, k: int = 5, id_col: str = "chunkId", vec
     Similarity is the cosine to 12 decimals; of equally similar ones the smaller id goes first. ``vectors`` has
     one row per id. Vectors that are null, of another length, hold null, NaN or infinite values,
     or are all zero give no rows and are nobody's neighbour. The centroids are fitted on at most
-    ``fit_rows`` vectors; every vector is indexed and is a query. Extra columns are never read.
+    ``fit_rows`` vectors and are MOST_SHARDS at most; every vector is indexed and is a query. Extra columns are never read.
     """
     spark = vectors.sparkSession
     rows = usable(vectors, id_col, vector, width).select("id", "vec", F.xxhash64("vec").alias("k1"), F.xxhash64(F.lit(1), "vec").alias("k2"))
@@ -218,7 +220,7 @@ def nearest_vectors(vectors: DataFrame, k: int = 5, id_col: str = "chunkId", vec
     if not total:
         return spark.createDataFrame([], f"id {kind}, neighbour {kind}, similarity double, place int")
     sample = classes.orderBy(F.xxhash64("id")).limit(fit_rows).select("vec").toArrow()
-    centroids = fit_centroids(units(_matrix(sample.column(0), width)), max(1, -(-total // shard))).astype(np.float32)
+    centroids = fit_centroids(units(_matrix(sample.column(0), width)), max(1, min(MOST_SHARDS, -(-total // shard)))).astype(np.float32)
     shared = spark.sparkContext.broadcast(centroids)
     visit = min(probes, len(centroids))
 
@@ -230,10 +232,10 @@ def nearest_vectors(vectors: DataFrame, k: int = 5, id_col: str = "chunkId", vec
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in u], pa.binary()), pa.array(top[:, 0].copy()), pa.ListArray.from_arrays(offsets, top.ravel())], ["node", "unit", "home", "visits"])
 
     placed = work_table(classes.select("node", "vec").mapInArrow(assign, "node long, unit binary, home int, visits array<int>"), "placed")
-    # One number per shard.
+    # One number per shard; there are at most MOST_SHARDS.
     held = {r[0]: r[1] for r in placed.groupBy("home").count().collect()}
     asked = {r[0]: r[1] for r in placed.select(F.explode("visits").alias("s")).groupBy("s").count().collect()}
-    plan = [(s, -(-n // (2 * shard)), -(-asked.get(s, 1) // BLOCK)) for s, n in held.items()]
+    plan = [(s, -(-n // max(2 * shard, PART)), -(-asked.get(s, 1) // BLOCK)) for s, n in held.items()]
     parts = spark.createDataFrame(plan, "shard int, parts int, blocks int")
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
