@@ -153,9 +153,10 @@ def snapshot_changes(
     versions = sorted(r[0] for r in src.select("ver").where("ver IS NOT NULL").distinct().collect())
     if len(versions) < 2:
         return spark.createDataFrame([], _DIFF_SCHEMA)
+    # Small enough to be broadcast by its size; Spark checks that against its threshold.
     order = spark.createDataFrame([(v, i) for i, v in enumerate(versions)], "ver long, ord int")
     latest = current_rows(src, ["ver", "key"], "landed", ["ver", "key", "content"])
-    hashed = latest.join(F.broadcast(order), "ver").select("ord", "key", F.xxhash64("key").alias("k"), F.xxhash64(F.lit(1), "key", F.coalesce("content", F.lit("")), F.col("content").isNull()).alias("v"))
+    hashed = latest.join(order, "ver").select("ord", "key", F.xxhash64("key").alias("k"), F.xxhash64(F.lit(1), "key", F.coalesce("content", F.lit("")), F.col("content").isNull()).alias("v"))
     rows = work_table(hashed, "snapshot_rows")
     total = rows.count()  # from the Parquet footers
     buckets = max(1, total // (len(versions) * rows_per_bucket))
@@ -188,5 +189,5 @@ def snapshot_changes(
         named = named.unionByName(net.select("pair", F.col("side").cast("int").alias("side"), "key"))
     kinds = named.groupBy("pair", "key").agg(F.max("side").alias("hi"), F.min("side").alias("lo"))
     kind = F.when((F.col("hi") > 0) & (F.col("lo") < 0), "changed").when(F.col("hi") > 0, "added").otherwise("removed")
-    later = F.broadcast(order.withColumnRenamed("ord", "pair"))
+    later = order.withColumnRenamed("ord", "pair")
     return kinds.join(later, "pair").select(F.col("ver").alias("index_version"), F.col("key").alias("chunkId"), kind.alias("change_type"))
