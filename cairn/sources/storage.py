@@ -1,6 +1,6 @@
 """Versioned Parquet tables that are published together.
 
-A table's rows lie in ``<root>/<name>/v=<n>``, which is written once and never changed. Which
+A table's rows lie in a folder of ``<root>/<name>``, which is written once and never changed. Which
 version of each table counts is in one small file, ``<root>/_current/<n>.json``, whose greatest
 number wins; it is created exclusively. So a run publishes all its tables by one file or none.
 """
@@ -8,6 +8,7 @@ number wins; it is created exclusively. So a run publishes all its tables by one
 from __future__ import annotations
 
 import json
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
@@ -89,8 +90,9 @@ class Transaction:
 
     def overwrite(self, name: str, df: DataFrame) -> DataFrame:
         """Write a new version; returns it as it will be read."""
-        path = f"{self.store.root}/{name}/v={self.number}"
-        df.write.mode("overwrite").parquet(path)
+        # of its own: a table may be written twice in a transaction, and others may be under way
+        path = f"{self.store.root}/{name}/v={self.number}-{uuid.uuid4().hex[:8]}"
+        df.write.parquet(path)
         self.new[name] = path
         return self.store.spark.read.schema(df.schema).parquet(path)
 
