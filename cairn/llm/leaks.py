@@ -22,26 +22,48 @@ from pyspark.sql import functions as F
 
 from cairn.llm.words import WordHashes, mix, words
 
-#: Steps sampled into a key.
-BITS = 10
+#: Steps sampled into a key; without edits, and with them.
+BITS, EDITED_BITS = 10, 12
+#: Pairs of windows that the number of repetitions is measured on, and repetitions at most.
+TRIALS, MOST_REPETITIONS = 2000, 64
 #: Item words up to which the items go to every worker; beyond, keys are joined by a shuffle.
 BROADCAST_WORDS = 4_000_000
 #: Windows embedded at once, and characters of corpus texts laid end to end.
 BLOCK, PIECE = 100_000, 500_000
+#: Pairs of a text's and an item's window compared at once.
+CANDIDATES = 50_000
 
 _KNOWN = WordHashes()
+#: No word: stands after a text's last one.
+_PAD = "\0"
 
 
-def repetitions(window: int, edits: int, bits: int = BITS, recall: float = 0.95) -> int:
-    """How often to draw a walk and a sample so that ``edits`` are found with ``recall``.
+@functools.cache
+def repetitions(window: int, edits: int, bits: int = BITS, recall: float = 0.98) -> int:
+    """How often to draw a walk and a sample so that ``edits`` edits are found with ``recall``.
 
-    An edit costs the walk about three of its 3 * window steps until both copies meet again; it
-    is doubled for the walk's heavy tail.
+    Measured on random windows with random edits, with the very draws that will be used: walks
+    that part at an edit meet again after a time with a heavy tail, which a formula misses.
     """
     if edits <= 0:
         return 1
-    agree = max(0.05, 1 - 6 * edits / (3 * window))
-    return math.ceil(math.log(1 - recall) / math.log1p(-(agree**bits)))
+    rng = np.random.default_rng(5)
+    plain, edited = [], []
+    for _ in range(TRIALS):
+        own = rng.integers(1, 1 << 62, window, dtype=np.uint64).tolist()
+        other = list(own)
+        for _ in range(edits):
+            at, kind, new = int(rng.integers(len(other))), int(rng.integers(3)), int(rng.integers(1, 1 << 62))
+            other[at : at + 1] = ([new], [], [other[at], new])[kind]
+        plain += own
+        edited += (other + rng.integers(1, 1 << 62, window, dtype=np.uint64).tolist())[:window]
+    x, y, starts = np.array(plain, np.uint64), np.array(edited, np.uint64), np.arange(TRIALS) * window
+    missed = np.ones(TRIALS, bool)
+    for n, (steps, sampled) in enumerate(_plan(window, bits, MOST_REPETITIONS), 1):
+        missed &= window_keys(x, starts, window, steps, sampled) != window_keys(y, starts, window, steps, sampled)
+        if missed.mean() <= 1 - recall:
+            return n
+    raise ValueError(f"{edits} edits in {window} words aren't found with {recall:.0%} by {MOST_REPETITIONS} repetitions; take fewer bits")
 
 
 @functools.cache
@@ -81,9 +103,7 @@ def _starts(lengths: list[int], window: int) -> np.ndarray:
 
 
 def edit_distance(a: list, b: list, most: int) -> int:
-    """Edits between two word lists, or ``most`` + 1 if there are more."""
-    if abs(len(a) - len(b)) > most:
-        return most + 1
+    """Edits between ``a`` and the beginning of ``b`` that is nearest to it, or ``most`` + 1."""
     prev = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
         row = [i] + [0] * len(b)
@@ -92,7 +112,7 @@ def edit_distance(a: list, b: list, most: int) -> int:
         if min(row) > most:
             return most + 1
         prev = row
-    return prev[-1]
+    return min(min(prev), most + 1)
 
 
 class _Items:
@@ -107,59 +127,68 @@ class _Items:
         starts = _starts([len(x) for x in self.words], window)
         item = np.repeat(np.arange(len(rows)), [max(0, len(x) - window + 1) for x in self.words])
         self.windows = [flat[p : p + window] for p in starts.tolist()]
-        self.sets = [frozenset(x) for x in self.windows] if edits else []
-        self.item = item.tolist()
+        self.item = item
         h = np.fromiter(map(_KNOWN.__getitem__, flat), np.uint64, len(flat))
-        self.by_key: list[dict[int, list[int]]] = []
-        self.maps = []
+        self.hashes = h[starts[:, None] + np.arange(window)] if len(starts) else np.zeros((0, window), np.uint64)
+        self.by_key = []
         for steps, sampled in self.plan:
-            table = defaultdict(list)
-            for n, k in enumerate(window_keys(h, starts, window, steps, sampled).tolist()):
-                table[k].append(n)
-            self.by_key.append(table)
-            first = np.zeros(1 << 22, bool)  # a first look, before the exact one
-            first[np.fromiter(table, np.uint64, len(table)) & np.uint64((1 << 22) - 1)] = True
-            self.maps.append(first)
-
-    def _near(self, found: list[str], n: int) -> bool:
-        own = self.windows[n]
-        if found == own:
-            return True
-        # an edit takes away at most one of the window's distinct words
-        return bool(self.edits) and len(self.sets[n].intersection(found)) >= len(self.sets[n]) - self.edits and edit_distance(found, own, self.edits) <= self.edits
+            keys = window_keys(h, starts, window, steps, sampled)
+            order = np.argsort(keys, kind="stable")
+            first = np.zeros(1 << 22, bool)  # a first look, before the search
+            first[keys & np.uint64((1 << 22) - 1)] = True
+            self.by_key.append((keys[order], order, first))
+
+    def _candidates(self, keys: np.ndarray, rep: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Positions in ``keys`` and the item windows with that key, some at a time."""
+        ordered, order, first = self.by_key[rep]
+        at = np.flatnonzero(first[keys & np.uint64((1 << 22) - 1)])
+        low = np.searchsorted(ordered, keys[at], side="left")
+        count = np.searchsorted(ordered, keys[at], side="right") - low
+        ends = np.cumsum(count)
+        begin = 0
+        while begin < len(at):
+            stop = max(begin + 1, int(np.searchsorted(ends, (ends[begin - 1] if begin else 0) + CANDIDATES, side="right")))
+            c = count[begin:stop]
+            offset = np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c)
+            yield np.repeat(at[begin:stop], c), order[np.repeat(low[begin:stop], c) + offset]
+            begin = stop
 
     def leaked(self, texts: list[str | None]) -> list[tuple]:
         """``(text's index, item_id, windows)`` of the items with a window within the edits."""
-        found = [words(t) for t in texts]
+        # room for windows that lost words at a text's end
+        found = [x + [_PAD] * self.edits if (x := words(t)) else x for t in texts]
         lengths = [len(x) for x in found]
         flat = [w for x in found for w in x]
-        h = np.fromiter(map(_KNOWN.__getitem__, flat), np.uint64, len(flat))
+        h = np.fromiter(map(_KNOWN.__getitem__, [*flat, *[_PAD] * self.edits]), np.uint64, len(flat) + self.edits)
         starts, ends = _starts(lengths, self.window), np.cumsum(lengths)
-        hits: dict[int, set[int]] = defaultdict(set)  # item -> starts
+        span, hits = np.arange(self.window + self.edits), set()
         for a in range(0, len(starts), BLOCK):
             part = starts[a : a + BLOCK]
-            for (steps, sampled), table, first in zip(self.plan, self.by_key, self.maps):
-                keys = window_keys(h, part, self.window, steps, sampled)
-                for i in np.flatnonzero(first[keys & np.uint64((1 << 22) - 1)]):
-                    p = int(part[i])
-                    for n in table.get(int(keys[i]), ()):
-                        if p not in hits[self.item[n]] and self._near(flat[p : p + self.window], n):
-                            hits[self.item[n]].add(p)
-        out = []
-        for n, where in hits.items():
-            texts_, counts = np.unique(np.searchsorted(ends, np.fromiter(where, np.int64, len(where)), side="right"), return_counts=True)
-            out += [(t, self.ids[n], c) for t, c in zip(texts_.tolist(), counts.tolist())]
-        return out
+            for rep, (steps, sampled) in enumerate(self.plan):
+                for i, n in self._candidates(window_keys(h, part, self.window, steps, sampled), rep):
+                    theirs, own = h[part[i][:, None] + span], self.hashes[n]
+                    if not self.edits:
+                        good = (theirs == own).all(axis=1)
+                    else:  # an edit takes away at most one of the window's words
+                        good = (own[:, :, None] == theirs[:, None, :]).any(axis=2).sum(axis=1) >= self.window - self.edits
+                    hits.update(zip(n[good].tolist(), part[i[good]].tolist()))
+        out: dict[tuple[int, int], set[int]] = defaultdict(set)
+        for n, p in hits:  # on the words themselves
+            t = int(np.searchsorted(ends, p, side="right"))
+            have, own = flat[p : min(p + self.window + self.edits, int(ends[t]))], self.windows[n]
+            if have[: self.window] == own or self.edits and edit_distance(own, have, self.edits) <= self.edits:
+                out[t, int(self.item[n])].add(p)
+        return [(t, self.ids[n], len(p)) for (t, n), p in out.items()]
 
 
 _READY: dict = {}
 
 
-def leaks(documents: DataFrame, items: DataFrame, window: int = 12, edits: int = 0, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text", bits: int = BITS, recall: float = 0.95, broadcast_words: int = BROADCAST_WORDS) -> DataFrame:
+def leaks(documents: DataFrame, items: DataFrame, window: int = 12, edits: int = 0, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text", bits: int | None = None, recall: float = 0.98, broadcast_words: int = BROADCAST_WORDS) -> DataFrame:
     """``(doc_id, item_id, windows)``: documents that hold passages of items.
 
-    A passage is a window of ``window`` consecutive words of the item that some window of the
-    document equals up to ``edits`` word edits; ``windows`` counts the document's. Words are runs
+    A passage is a window of ``window`` consecutive words of the item that some run of words of
+    the document equals up to ``edits`` word edits; ``windows`` counts where they begin. Words are runs
     of letters and digits of the lower-cased text, whatever stands between them. Null and shorter
     texts have no windows; rows with a null id are left out; repeated rows count once. Items go
     to every worker if their words are at most ``broadcast_words`` (counted first); otherwise the
@@ -168,6 +197,7 @@ def leaks(documents: DataFrame, items: DataFrame, window: int = 12, edits: int =
     docs = documents.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text")).where("doc_id IS NOT NULL AND text IS NOT NULL")
     tests = items.select(F.col(item_id).alias("item_id"), F.col(text).cast("string").alias("text")).where("item_id IS NOT NULL AND text IS NOT NULL").distinct()
     kinds = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, item_id {tests.schema['item_id'].dataType.simpleString()}, windows long"
+    bits = bits or (EDITED_BITS if edits else BITS)
     reps = repetitions(window, edits, bits, recall)
     # A word takes at least two characters with what follows it.
     if (tests.agg(F.sum(F.length("text"))).first()[0] or 0) <= 2 * broadcast_words:
@@ -185,7 +215,7 @@ def leaks(documents: DataFrame, items: DataFrame, window: int = 12, edits: int =
 
         found = docs.mapInArrow(run, kinds)
     else:
-        candidates = _keyed(docs, "doc_id", window, bits, reps).join(_keyed(tests, "item_id", window, bits, reps), ["rep", "key"]).select("doc_id", "item_id").distinct()
+        candidates = _keyed(docs, "doc_id", window, bits, reps, edits).join(_keyed(tests, "item_id", window, bits, reps), ["rep", "key"]).select("doc_id", "item_id").distinct()
         both = candidates.join(docs.withColumnRenamed("text", "doc_text"), "doc_id").join(tests.withColumnRenamed("text", "item_text"), "item_id").select("doc_id", "item_id", "doc_text", "item_text")
 
         def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -215,13 +245,13 @@ def _arrow(df: DataFrame, column: str) -> pa.DataType:
     return {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[df.schema[column].dataType.simpleString()]
 
 
-def _keyed(rows: DataFrame, id_col: str, window: int, bits: int, reps: int) -> DataFrame:
+def _keyed(rows: DataFrame, id_col: str, window: int, bits: int, reps: int, pads: int = 0) -> DataFrame:
     """``(id, rep, key)`` of every window, each key of a text once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                found = words(t)
+                found = words(t) + [_PAD] * pads
                 h = np.fromiter(map(_KNOWN.__getitem__, found), np.uint64, len(found))
                 starts = _starts([len(h)], window)
                 for rep, (steps, sampled) in enumerate(_plan(window, bits, reps)):

@@ -113,7 +113,21 @@ def p10_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {"p2_found": p2_found, "p2_groups": p2_groups, "p4_found": p4_found, "p4_repaired": p4_repaired, "p5_found": p5_found, "p5_pieces": p5_pieces, "p6_found": p6_found, "p6_documents": p6_documents, "p6_segments": p6_segments, "p7_found": p7_found, "p7_neighbours": p7_neighbours, "p8_ids": p8_ids, "p8_round_trip": p8_round_trip, "p9_found": p9_found, "p9_near": p9_near, "p10_found": p10_found, "p10_restored": p10_restored}
 
+_CURRENT = "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY chunkId ORDER BY extracted_ts DESC NULLS LAST) AS rn FROM delta_pdf_chunks WHERE chunkId IS NOT NULL) WHERE rn = 1"
+_WORDS = r"regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}]+')"
+
 SQL = {
+    "p2_found": f"""
+        WITH w AS (SELECT chunkId, docId, {_WORDS.format('chunkText')} AS w FROM ({_CURRENT})),
+        s AS (SELECT DISTINCT chunkId, docId, array_to_string(w[i:i + 2], ' ') AS g FROM (SELECT *, unnest(range(1, len(w) - 1)) AS i FROM w)),
+        n AS (SELECT chunkId, count(*) AS n FROM s GROUP BY chunkId),
+        c AS (SELECT a.chunkId AS chunk_a, b.chunkId AS chunk_b, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.chunkId < b.chunkId AND a.docId <> b.docId GROUP BY ALL)
+        SELECT chunk_a, chunk_b FROM c JOIN n x ON x.chunkId = chunk_a JOIN n y ON y.chunkId = chunk_b WHERE k >= 0.6 * (x.n + y.n - k)""",
     "p5_found": r"SELECT DISTINCT item_id FROM pdf_chunk WHERE item_id IS NOT NULL AND length(trim(regexp_replace(text, '[ \t\n\x0B\f\r]+', ' ', 'g'), ' ')) > 1500",
     "p8_round_trip": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
+    "p9_found": f"""
+        WITH d AS (SELECT doc_id, {_WORDS.format('text')} AS w FROM documents), e AS (SELECT item_id, {_WORDS.format('text')} AS w FROM eval_items),
+        dw AS (SELECT doc_id, array_to_string(w[i:i + 11], ' ') AS g FROM (SELECT *, unnest(range(1, len(w) - 10)) AS i FROM d)),
+        ew AS (SELECT DISTINCT item_id, array_to_string(w[i:i + 11], ' ') AS g FROM (SELECT *, unnest(range(1, len(w) - 10)) AS i FROM e))
+        SELECT DISTINCT doc_id, item_id FROM dw JOIN ew USING (g)""",
 }
