@@ -14,7 +14,7 @@ import os
 import time
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 PENDING, LEASED, DONE = "pending", "leased", "done"
@@ -33,12 +33,9 @@ def fold(events: DataFrame, now, fenced: bool = True) -> DataFrame:
     """
     ev = events.where("item IS NOT NULL AND kind IN ('add', 'lease', 'done')")
     if fenced:
-        leases = ev.where("kind = 'lease'").select("item", F.struct("token", "at").alias("claim"))
-        # Only commits that some later claim overtakes need a look, and claims per item are few.
-        claims = leases.groupBy("item").agg(F.collect_set("claim").alias("claims"))
-        done = ev.where("kind = 'done'").join(claims, "item", "left")
-        stale = F.exists(F.coalesce("claims", F.array().cast("array<struct<token:bigint,at:timestamp>>")), lambda c: (c.token > F.col("token")) & (c.at <= F.col("at")))
-        ev = ev.where("kind <> 'done'").unionByName(done.where(~stale).select(ev.columns))
+        # the newest claim there was when an event was written; the same partitions serve below
+        so_far = Window.partitionBy("item").orderBy("at").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+        ev = ev.withColumn("newest", F.max(F.when(F.col("kind") == "lease", F.col("token"))).over(so_far)).where("kind <> 'done' OR newest IS NULL OR newest <= token")
     last = lambda kind: F.max(F.when(F.col("kind") == kind, F.struct("token", "at", "hash", "until")))
     folded = ev.groupBy("item").agg(last("lease").alias("l"), last("done").alias("d"), F.max(F.when(F.col("kind") == "add", F.struct("at", "hash"))).alias("a"))
     live = F.col("l.token").isNotNull() & (F.col("l.token") > F.coalesce("d.token", F.lit(-1))) & (F.col("l.until") > now)

@@ -20,7 +20,7 @@ from cairn.operators.metrics import run_counts, size_of
 from cairn.operators.snapshot import retrieval_index
 from cairn.plans.pipeline import Options, run_once
 from cairn.session import read, shared_dir
-from cairn.sources.files import extract_texts, write_pdf
+from cairn.sources.files import extract_texts, scan_files, write_pdf
 from cairn.sources.storage import TableStore
 
 MODEL, OTHER, VERSION = "m1", "m2", "v1"
@@ -193,6 +193,11 @@ def extract_struct(spark, sf_dir):
     return extract_texts(files).select("path", "text", "debug")
 
 
+def file_scan(spark, sf_dir):
+    """The test tables' own files as binary files: names and lengths, without their contents."""
+    return scan_files(spark, sf_dir, "*.parquet").select(F.regexp_extract("path", r"([^/]+)$", 1).alias("name"), "length")
+
+
 def pipeline_two_runs(spark, sf_dir):
     """A first run over the stored documents, a second over the present ones; the index's documents."""
     store = TableStore(spark, f"{shared_dir(spark)}/store-{uuid.uuid4().hex}")
@@ -290,6 +295,6 @@ QUERIES = {
     for f in (
         doc_projection, text_normalize, language_detect, chunk_fixed, chunk_small_window, chunk_intelligent, chunk_statistics_query, chunk_metadata_query, doc_delta_anti, existing_distinct,
         embedding_delta_anti, embed_deterministic, embed_service, merge_docs, merge_chunks, merge_embeddings, snapshot_join, snapshot_two_models, snapshot_one_model, corpus_size,
-        run_metrics_counts, stale_chunks_after_edit, prune_stale_query, chat_role_mapping, model_dim, extract_struct, pipeline_two_runs,
+        run_metrics_counts, stale_chunks_after_edit, prune_stale_query, chat_role_mapping, model_dim, file_scan, extract_struct, pipeline_two_runs,
     )
 }

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairn.functions.text import PAGE_BREAK
+from cairn.operators.chunking import LEAST_CUT, cut_at_sentences
 
 
 def scan_files(spark: SparkSession, folder: str, pattern: str = "*.pdf", recursive: bool = False) -> DataFrame:
@@ -117,6 +118,16 @@ def extract_or_none(data: bytes | None) -> str | None:
     return None if debug.startswith("Error") else text
 
 
+def chunks_of_file(path: str, window: int = 1500, overlap: int = 250, at_sentences: bool = False) -> list[tuple[int, int, str]] | None:
+    """``(start, end, text)`` chunks of one local file, for a look at it; None if it can't be read."""
+    try:
+        with open(path, "rb") as f:
+            text = extract_or_none(f.read())
+    except OSError:
+        return None
+    return None if text is None else cut_at_sentences(text, window, overlap, LEAST_CUT if at_sentences else 1.0)
+
+
 def extract_texts(files: DataFrame, partitions: int | None = None) -> DataFrame:
     """``(path, length, text, debug)`` of scanned files, before normalization.
 

@@ -6,7 +6,7 @@ import pytest
 
 from cairn.config import load
 from cairn.functions.text import PAGE_BREAK
-from cairn.sources.files import extract, extract_or_none, extract_texts, pdf_pages, scan_files, write_pdf
+from cairn.sources.files import chunks_of_file, extract, extract_or_none, extract_texts, pdf_pages, scan_files, write_pdf
 from cairn.sources.storage import Conflict, TableStore, list_tables, recreate_database, save_table, table_exists
 from tests.conftest import rows
 
@@ -35,6 +35,12 @@ def test_scan(spark, tmp_path):
     assert got["a.pdf"].text == "one" and got["c.pdf"].text == "" and got["c.pdf"].length == 6
 
 
+def test_chunks_of_a_file(tmp_path):
+    (tmp_path / "a.pdf").write_bytes(write_pdf(["x" * 30]))
+    assert [c[:2] for c in chunks_of_file(str(tmp_path / "a.pdf"), 20, 5)] == [(0, 20), (15, 30)]
+    assert chunks_of_file(str(tmp_path / "none.pdf")) is None
+
+
 def test_store_publishes_together(spark, tmp_path):
     store = TableStore(spark, f"file://{tmp_path}/s")
     assert store.tables() == [] and store.read_or_none("x") is None
