@@ -17,7 +17,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cairn.llm.words import WordHashes, shingles
@@ -136,10 +136,14 @@ def _verify(size: int, threshold: float):
 
 
 def _candidates(reps: DataFrame, block: int) -> DataFrame:
-    """Pairs of classes that share a band, each pair once."""
+    """Pairs of classes that share a band, each pair once.
+
+    Few bands are shared: they are counted first, which combines a hot one before the shuffle,
+    and only their rows are written and meet, those of a hot one block by block.
+    """
     rows = reps.select("cls", F.explode("bands").alias("key"))
     size = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    full = rows.join(size, "key").withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
+    full = work_table(rows.join(size, "key").withColumn("blocks", F.ceil(F.col("n") / block).cast("int")), "shared_bands")
     own = F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")
     # A row meets those of its own block and of every other one; a small bucket has one block.
     left = full.select("key", "cls", own.alias("i"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"))
@@ -159,8 +163,10 @@ def similar_classes(texts: DataFrame, id_col: str, owner: str, text: str, size:
     bands = bands_for(threshold, rows, miss)
     signed = work_table(src.mapInArrow(_sign(size, bands, rows), f"id {src.schema['id'].dataType.simpleString()}, owner {src.schema['owner'].dataType.simpleString()}, text string, cls binary, sig binary, bands array<long>"), "signed")
     members = signed.select("id", "owner", "cls")
-    first = signed.groupBy("cls").agg(F.min("id").alias("id"))
-    reps = signed.join(first, ["cls", "id"], "left_semi")
+    # One row stands for a class: the others, which are few but for copies, are taken out by id.
+    many = signed.groupBy("cls").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    others = members.join(many, "cls").where("id <> first").select("id")
+    reps = signed.join(others, "id", "left_anti")
     pairs = _candidates(reps.select("cls", "bands"), block)
     sig = reps.select("cls", "sig")
     tested = pairs.join(sig.toDF("a", "sig_a"), "a").join(sig.toDF("b", "sig_b"), "b")
