@@ -104,6 +104,8 @@ def edge_lines(lines: list[str], title: str | None = None) -> list[str]:
             inserted = at and natural(lines[flow[at - 1]], after) and not kind[flow[at - 1]] and (line.strip()[:1].isupper() or line.strip()[:1].isdigit()) and not _STOP.search(lines[flow[at - 1]]) and after.strip()[:1].islower()
             if cut or inserted:
                 kind[i] = "header"
+    if len(flow) > 1 and _like_title(lines[flow[-1]], title) and not _STOP.search(lines[flow[-1]]):
+        kind[flow[-1]] = "header"
     return kind
 
 

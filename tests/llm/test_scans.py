@@ -54,6 +54,7 @@ def test_edge_lines():
         assert kinds((2, line)) == ["header"], line
     assert kinds((2, "NOTES OF LODI | 45")) == kinds((0, "45  Lodi Quarterly · Vol. 3")) == ["both"]
     assert kinds((2, "A Short Title of Its Own"), title="A Short Title of Its Own") == ["header"]
+    assert kinds((5, "A Short Title of Its Own"), title="A Short Title of Its Own") == ["header"]
     # numbers and capitals within the text are none
     assert edge_lines(["page 55 of the", "register, see 12"], None) == ["", ""] and edge_lines(["ALL IN CAPITALS HERE", "AND SO ARE THESE LINES"], None) == ["", ""]
 
