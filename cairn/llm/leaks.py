@@ -128,20 +128,21 @@ class _Items:
         item = np.repeat(np.arange(len(rows)), [max(0, len(x) - window + 1) for x in self.words])
         self.windows = [flat[p : p + window] for p in starts.tolist()]
         self.item = item
+        self.slots = 1 << min(22, max(8, len(starts).bit_length() + 6))
         h = np.fromiter(map(_KNOWN.__getitem__, flat), np.uint64, len(flat))
         self.hashes = h[starts[:, None] + np.arange(window)] if len(starts) else np.zeros((0, window), np.uint64)
         self.by_key = []
         for steps, sampled in self.plan:
             keys = window_keys(h, starts, window, steps, sampled)
             order = np.argsort(keys, kind="stable")
-            first = np.zeros(1 << 22, bool)  # a first look, before the search
-            first[keys & np.uint64((1 << 22) - 1)] = True
+            first = np.zeros(self.slots, bool)  # a first look, before the search
+            first[keys & np.uint64(self.slots - 1)] = True
             self.by_key.append((keys[order], order, first))
 
     def _candidates(self, keys: np.ndarray, rep: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Positions in ``keys`` and the item windows with that key, some at a time."""
         ordered, order, first = self.by_key[rep]
-        at = np.flatnonzero(first[keys & np.uint64((1 << 22) - 1)])
+        at = np.flatnonzero(first[keys & np.uint64(self.slots - 1)])
         low = np.searchsorted(ordered, keys[at], side="left")
         count = np.searchsorted(ordered, keys[at], side="right") - low
         ends = np.cumsum(count)
@@ -219,10 +220,15 @@ def leaks(documents: DataFrame, items: DataFrame, window: int = 12, edits: int =
         both = candidates.join(docs.withColumnRenamed("text", "doc_text"), "doc_id").join(tests.withColumnRenamed("text", "item_text"), "item_id").select("doc_id", "item_id", "doc_text", "item_text")
 
         def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            known: dict[tuple, _Items] = {}
             for batch in batches:
                 out = []
                 for d, i, dt, it in zip(*(c.to_pylist() for c in batch.columns)):
-                    out += [(d, *x[1:]) for x in _Items([(i, it)], window, edits, bits, reps).leaked([dt])]
+                    if (i, it) not in known:
+                        if len(known) >= 1000:
+                            known.clear()
+                        known[i, it] = _Items([(i, it)], window, edits, bits, reps)
+                    out += [(d, *x[1:]) for x in known[i, it].leaked([dt])]
                 yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], type_) for k, type_ in enumerate((batch.schema.field(0).type, batch.schema.field(1).type, pa.int64()))], ["doc_id", "item_id", "windows"])
 
         found = both.mapInArrow(check, kinds)

@@ -135,30 +135,35 @@ def _verify(size: int, threshold: float):
     return run
 
 
-def _candidates(reps: DataFrame, block: int) -> DataFrame:
-    """Pairs of classes that share a band, each pair once.
+def _shared_bands(reps: DataFrame, block: int) -> DataFrame:
+    """``(key, cls, blocks)`` of the bands that several classes share, written.
 
-    Few bands are shared: they are counted first, which combines a hot one before the shuffle,
-    and only their rows are written and meet, those of a hot one block by block.
+    They are few, and counted first, which combines a hot one before the shuffle.
     """
     rows = reps.select("cls", F.explode("bands").alias("key"))
     size = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    full = work_table(rows.join(size, "key").withColumn("blocks", F.ceil(F.col("n") / block).cast("int")), "shared_bands")
-    own = F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")
-    # A row meets those of its own block and of every other one; a small bucket has one block.
-    left = full.select("key", "cls", own.alias("i"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"))
-    right = full.select("key", F.col("cls").alias("other"), own.alias("j"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("i"))
-    return left.join(right, ["key", "i", "j"]).where("cls < other").select(F.col("cls").alias("a"), F.col("other").alias("b")).distinct()
+    return work_table(rows.join(size, "key").select("key", "cls", F.ceil(F.col("n") / block).cast("int").alias("blocks")), "shared_bands")
 
 
-def similar_classes(texts: DataFrame, id_col: str, owner: str, text: str, size: int = 5, threshold: float = 0.8, rows: int = ROWS, miss: float = MISS, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
-    """``(members, links)``: ``(id, owner, cls)`` and ``(a, b, similarity)`` between classes.
+def _meet(shared: DataFrame, differ: str | None = None) -> DataFrame:
+    """Pairs of classes that share a band, each once; those of a hot band meet block by block.
 
-    ``texts`` has one row per id. A class holds the ids with the same set of shingles; texts with
-    fewer than ``size`` words have no shingles and belong to no class. Every link between
-    different classes is there once (but for the stated ``miss`` of the candidate search), with
-    a < b; copies are not expanded.
+    ``differ`` names a column in which the two must differ.
     """
+    extra = [differ] if differ else []
+    own = F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")
+    others = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    # A row meets those of its own block and of every other one; a small bucket has one block.
+    left = shared.select("key", "cls", *extra, own.alias("i"), others.alias("j"))
+    right = shared.select("key", F.col("cls").alias("other"), *[F.col(c).alias(f"other_{c}") for c in extra], own.alias("j"), others.alias("i"))
+    pairs = left.join(right, ["key", "i", "j"]).where("cls < other")
+    if differ:
+        pairs = pairs.where(F.col(differ) != F.col(f"other_{differ}"))
+    return pairs.select(F.col("cls").alias("a"), F.col("other").alias("b")).distinct()
+
+
+def _classes(texts: DataFrame, id_col: str, owner: str, text: str, size: int, threshold: float, rows: int, miss: float) -> tuple[DataFrame, DataFrame]:
+    """``(members, reps)``: the class of every id, and one row for each class."""
     src = texts.select(F.col(id_col).alias("id"), F.col(owner).alias("owner"), F.col(text).alias("text")).where("id IS NOT NULL AND text IS NOT NULL")
     bands = bands_for(threshold, rows, miss)
     signed = work_table(src.mapInArrow(_sign(size, bands, rows), f"id {src.schema['id'].dataType.simpleString()}, owner {src.schema['owner'].dataType.simpleString()}, text string, cls binary, sig binary, bands array<long>"), "signed")
@@ -166,15 +171,29 @@ def similar_classes(texts: DataFrame, id_col: str, owner: str, text: str, size:
     # One row stands for a class: the others, which are few but for copies, are taken out by id.
     many = signed.groupBy("cls").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
     others = members.join(many, "cls").where("id <> first").select("id")
-    reps = signed.join(others, "id", "left_anti")
-    pairs = _candidates(reps.select("cls", "bands"), block)
+    return members, signed.join(others, "id", "left_anti")
+
+
+def _verified(pairs: DataFrame, reps: DataFrame, size: int, threshold: float) -> DataFrame:
+    """``(a, b, similarity)`` of the candidate pairs that survive the Bayesian test and are similar."""
     sig = reps.select("cls", "sig")
     tested = pairs.join(sig.toDF("a", "sig_a"), "a").join(sig.toDF("b", "sig_b"), "b")
     kept = tested.select("a", "b", "sig_a", "sig_b").mapInPandas(_prune(threshold), "a binary, b binary")
     text_of = reps.select("cls", "text")
     full = kept.join(text_of.toDF("a", "text_a"), "a").join(text_of.toDF("b", "text_b"), "b")
-    links = full.select("a", "b", "text_a", "text_b").mapInPandas(_verify(size, threshold), "a binary, b binary, similarity double")
-    return members, links
+    return full.select("a", "b", "text_a", "text_b").mapInPandas(_verify(size, threshold), "a binary, b binary, similarity double")
+
+
+def similar_classes(texts: DataFrame, id_col: str, owner: str, text: str, size: int = 5, threshold: float = 0.8, rows: int = ROWS, miss: float = MISS, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
+    """``(members, links)``: ``(id, owner, cls)`` and ``(a, b, similarity)`` between classes.
+
+    ``texts`` has one row per id. A class holds the ids with the same set of shingles; texts with
+    fewer than ``size`` words have no shingles and belong to no class. Every link between
+    different classes is there once (but for the stated ``miss`` of the candidate search), with
+    a < b; copies are not expanded.
+    """
+    members, reps = _classes(texts, id_col, owner, text, size, threshold, rows, miss)
+    return members, _verified(_meet(_shared_bands(reps, block)), reps, size, threshold)
 
 
 def similar_pairs(texts: DataFrame, id_col: str = "chunkId", owner: str = "docId", text: str = "chunkText", **options) -> DataFrame:
@@ -215,18 +234,28 @@ def components(links: DataFrame, a: str = "a", b: str = "b", most_rounds: int =
     raise RuntimeError(f"the links' components take more than {most_rounds} rounds")
 
 
-def groups(texts: DataFrame, id_col: str = "chunkId", owner: str = "docId", text: str = "chunkText", **options) -> DataFrame:
-    """``(id, group, links)`` of every row with a non-empty shingle set.
+def groups(texts: DataFrame, id_col: str = "chunkId", owner: str = "docId", text: str = "chunkText", size: int = 5, threshold: float = 0.8, rows: int = ROWS, miss: float = MISS, block: int = BLOCK) -> DataFrame:
+    """``(id, group, copies)`` of every row with a non-empty shingle set.
+
+    ``group`` is the smallest id among all that links between texts, directly or over others,
+    lead to; it is the row's own id where there is none. ``copies`` counts the rows with the same
+    shingle set, itself included.
 
-    ``group`` is the smallest id among all that links, directly or over others, lead to; it is
-    the row's own id where there is none. ``links`` counts the other texts it is linked with;
-    copies share both and are not expanded.
+    Not all pairs of a band need to meet for that: first each class meets the smallest one of its
+    bands, a number of pairs in proportion to the rows; then only those that this leaves in
+    different groups. A band that a third of all texts share is one group after the first step.
     """
-    members, links = similar_classes(texts, id_col, owner, text, **options)
-    links = work_table(links.select("a", "b"), "links")
-    counts = links.select(F.col("a").alias("cls")).unionByName(links.select(F.col("b").alias("cls"))).groupBy("cls").agg(F.count(F.lit(1)).alias("links"))
+    members, reps = _classes(texts, id_col, owner, text, size, threshold, rows, miss)
+    shared = _shared_bands(reps, block)
+    lead = shared.groupBy("key").agg(F.min("cls").alias("a"))
+    stars = shared.join(lead, "key").where("a <> cls").select("a", F.col("cls").alias("b")).distinct()
+    first = work_table(_verified(stars, reps, size, threshold).select("a", "b"), "links")
+    placed = shared.join(components(first), shared["cls"] == F.col("node"), "left").select("key", "cls", "blocks", F.coalesce("root", "cls").alias("root"))
+    split = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
+    rest = _meet(placed.join(split, "key", "left_semi"), differ="root")
+    links = first.unionByName(_verified(rest, reps, size, threshold).select("a", "b"))
     roots = components(links).select(F.col("node").alias("cls"), "root")
-    classes = members.groupBy("cls").agg(F.min("id").alias("first")).join(roots, "cls", "left").join(counts, "cls", "left")
-    classes = work_table(classes.select("cls", F.coalesce("root", "cls").alias("root"), "first", F.coalesce("links", F.lit(0)).alias("links")), "grouped")
+    classes = members.groupBy("cls").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("copies")).join(roots, "cls", "left")
+    classes = work_table(classes.select("cls", F.coalesce("root", "cls").alias("root"), "first", "copies"), "grouped")
     names = classes.groupBy("root").agg(F.min("first").alias("group"))
-    return members.join(classes.select("cls", "root", "links"), "cls").join(names, "root").select("id", "group", "links")
+    return members.join(classes.select("cls", "root", "copies"), "cls").join(names, "root").select("id", "group", "copies")

@@ -57,7 +57,9 @@ def test_pairs_equal_brute_force(spark):
 
 def test_empty_and_no_pairs(spark):
     assert similar_pairs(table(spark, ("a", "d", "x y z")).limit(0), size=3, threshold=0.6).count() == 0
-    assert similar_pairs(table(spark, ("a", "d", "x y z"), ("b", "e", "u v w")), size=3, threshold=0.6).count() == 0
+    two = table(spark, ("a", "d", "x y z"), ("b", "e", "u v w"))
+    assert similar_pairs(two, size=3, threshold=0.6).count() == 0
+    assert rows(groups(two, size=3, threshold=0.6)) == [("a", "a", 1), ("b", "b", 1)] and groups(two.limit(0), size=3, threshold=0.6).count() == 0
 
 
 def test_blocks_find_the_same(spark):
@@ -77,10 +79,29 @@ def test_groups_follow_links(spark):
     chain = [" ".join(base[k * 4 :] + [f"t{j}" for j in range(k * 4)]) for k in range(4)]  # each near the next only
     data = [(f"c{k}", f"d{k}", t) for k, t in enumerate(chain)] + [("copy", "dc", chain[0]), ("alone", "da", "quite other words that nobody else has here"), ("short", "ds", "one")]
     got = {r[0]: (r[1], r[2]) for r in groups(table(spark, *data), size=3, threshold=0.6).collect()}
-    pairs = plain(data, 3, 0.6)
-    assert got["alone"] == ("alone", 0) and "short" not in got
+    assert got["alone"] == ("alone", 1) and "short" not in got
     assert {got[f"c{k}"][0] for k in range(4)} == {got["copy"][0]} == {min("c0", "copy")}
-    assert got["copy"] == got["c0"] and got["c0"][1] == len([p for p in pairs if "c0" in p and "copy" not in p])
+    assert got["copy"] == got["c0"] and got["c0"][1] == 2
+
+
+def test_groups_equal_components_of_all_pairs(spark):
+    data = []
+    for k in range(8):
+        for j in range(6):
+            data.append((f"k{k}j{j}", f"d{k}{j}", near(50 + k, edits=j * 2)[1]))
+    data += [(f"hot{j:02}", f"h{j}", near(3, edits=0)[0] + f" end{j}") for j in range(40)]
+    parent = {i: i for i, _, _ in data}
+
+    def top(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for a, b in plain(data, 3, 0.6):
+        a, b = sorted((top(a), top(b)))
+        parent[b] = a
+    got = {r[0]: r[1] for r in groups(table(spark, *data), size=3, threshold=0.6, block=7).collect()}
+    assert got == {i: top(i) for i in parent}
 
 
 def test_components_of_a_long_chain(spark):
