@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import difflib
 import itertools
+import json
 import re
 import zlib
 from collections import Counter
@@ -170,7 +171,7 @@ def corrections(words: DataFrame, least: int = LEAST_COUNT, ratio: int = RATIO)
     double = [([a[0], b[0]], [a[1], b[1]], 2) for a, b in itertools.combinations_with_replacement(CONFUSIONS, 2)]
     table = [(w, r, k, sum(map(_value, r)) - sum(map(_value, w))) for w, r, k in single + double]
     # The table of differences is of fixed size and a literal: each word is shifted where it can be.
-    steps = F.array(*[F.struct(F.array(*map(F.lit, w)).alias("w"), F.array(*map(F.lit, r)).alias("r"), F.lit(k).alias("changes"), F.lit(d).cast("long").alias("step")) for w, r, k, d in table])
+    steps = F.from_json(F.lit(json.dumps([{"w": w, "r": r, "changes": k, "step": d} for w, r, k, d in table])), "array<struct<w:array<string>,r:array<string>,changes:int,step:bigint>>")
     wrong, long_enough = F.col("wrong"), F.length("wrong") >= SHORTEST_TWICE
     possible = F.filter(steps, lambda s: (F.instr(wrong, s.w[0]) > 0) & ((s.changes == 1) | long_enough & (F.instr(wrong, F.element_at(s.w, -1)) > 0)))
     shifted = rare.select("wrong", "n", "capital", "value", F.inline(possible)).select("wrong", "n", "capital", "w", "r", "changes", (F.col("value") + F.col("step")).alias("value"))
