@@ -104,11 +104,11 @@ def p9_near(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return restore(read(spark, sf_dir, "documents")).select("doc_id").distinct()
+    return restore(read(spark, sf_dir, "documents"), source="source").select("doc_id").distinct()
 
 
 def p10_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return restore(read(spark, sf_dir, "documents"))
+    return restore(read(spark, sf_dir, "documents"), source="source")
 
 
 QUERIES = {"p2_found": p2_found, "p2_groups": p2_groups, "p4_found": p4_found, "p4_repaired": p4_repaired, "p5_found": p5_found, "p5_pieces": p5_pieces, "p6_found": p6_found, "p6_documents": p6_documents, "p6_segments": p6_segments, "p7_found": p7_found, "p7_neighbours": p7_neighbours, "p8_ids": p8_ids, "p8_round_trip": p8_round_trip, "p9_found": p9_found, "p9_near": p9_near, "p10_found": p10_found, "p10_restored": p10_restored}
