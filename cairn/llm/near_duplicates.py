@@ -213,25 +213,28 @@ def similar_pairs(texts: DataFrame, id_col: str = "chunkId", owner: str = "docId
     return pairs.select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"), "similarity")
 
 
-def components(links: DataFrame, a: str = "a", b: str = "b", most_rounds: int = 50) -> DataFrame:
+def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """``(node, root)`` of every linked node: the smallest node that links lead to.
 
-    Each round gives a node the smallest root among its own and its neighbours', and then that
-    root's root, so a chain takes a logarithmic number of rounds. Rounds are written tables.
+    Large-star and small-star in turn, until nothing changes: every node links its larger
+    neighbours to its smallest one, then its smaller ones and itself. Labels pass between regions
+    that way, so a long path takes a logarithmic number of rounds. Rounds are written tables.
     """
-    edges = links.select(F.col(a).alias("x"), F.col(b).alias("y")).where("x <> y")
-    edges = work_table(edges.unionByName(edges.selectExpr("y AS x", "x AS y")).distinct(), "edges")
-    roots = work_table(edges.groupBy("x").agg(F.min("y").alias("m")).select(F.col("x").alias("node"), F.least("x", "m").alias("root")), "roots")
-    for _ in range(most_rounds):
-        near = edges.join(roots.select(F.col("node").alias("y"), "root"), "y").groupBy("x").agg(F.min("root").alias("r"))
-        step = roots.join(near, roots["node"] == near["x"]).select("node", F.col("root").alias("old"), F.least("root", "r").alias("root"))
-        up = step.select(F.col("node").alias("up"), F.col("root").alias("top"))
-        jumped = step.join(up, step["root"] == up["up"], "left").select("node", "old", F.least("root", "top").alias("root"))
-        done = work_table(jumped, "roots")
-        roots = done.select("node", "root")
-        if done.where("old <> root").isEmpty():
-            return roots
-    raise RuntimeError(f"the links' components take more than {most_rounds} rounds")
+    ends = [F.greatest(a, b).alias("x"), F.least(a, b).alias("y")]
+    edges = work_table(links.where(F.col(a) != F.col(b)).select(*ends).distinct(), "edges")
+    while True:
+        both = edges.unionByName(edges.selectExpr("y AS x", "x AS y"))
+        low = both.groupBy("x").agg(F.least("x", F.min("y")).alias("m"))
+        large = both.join(low, "x").where("y > x").selectExpr("y AS x", "m AS y").distinct()
+        large = work_table(large, "large_star")
+        least = large.groupBy("x").agg(F.min("y").alias("m"))
+        near = large.join(least, "x")
+        small = near.where("y <> m").selectExpr("y AS x", "m AS y").unionByName(least.selectExpr("x", "m AS y")).distinct()
+        done = work_table(small, "edges")
+        changed = not (done.exceptAll(edges).isEmpty() and edges.exceptAll(done).isEmpty())
+        edges = done
+        if not changed:
+            return edges.selectExpr("x AS node", "y AS root").unionByName(edges.selectExpr("y AS node", "y AS root").distinct())
 
 
 def groups(texts: DataFrame, id_col: str = "chunkId", owner: str = "docId", text: str = "chunkText", size: int = 5, threshold: float = 0.8, rows: int = ROWS, miss: float = MISS, block: int = BLOCK) -> DataFrame:

@@ -110,6 +110,13 @@ def test_components_of_a_long_chain(spark):
     assert set(got.values()) == {"0000", "x"} and len(got) == 63
 
 
+def test_components_of_a_long_shuffled_path(spark):
+    ids = [f"{i:04}" for i in range(1000)]
+    random.Random(7).shuffle(ids)
+    links = spark.createDataFrame(list(zip(ids, ids[1:])), "a string, b string")
+    assert rows(components(links)) == [(f"{i:04}", "0000") for i in range(1000)]
+
+
 def test_minhash_estimates_and_pruning():
     known = WordHashes()
     for k in range(20):
