@@ -227,7 +227,8 @@ def scan_noise(texts: DataFrame, titles: DataFrame | None = None, id_col: str =
     else:
         src = src.join(titles.toDF("owner", "title"), "owner", "left")
     rows = work_table(src.select("id", "title", "text"), "texts")
-    words = work_table(vocabulary(rows, "text"), "words")
+    # copies of a text count once: a misread word in one doesn't become frequent
+    words = work_table(vocabulary(rows.select("text").distinct(), "text"), "words")
     fixes = work_table(corrections(words), "corrections")
     shared = spark.sparkContext.broadcast(_filter(fixes))  # FILTER_BITS / 8 bytes
 

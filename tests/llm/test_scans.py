@@ -71,6 +71,13 @@ def test_kinds_and_repair(spark):
     assert set(repaired) == {i for i, _ in found} and set(repaired.values()) == {PLAIN}
 
 
+def test_copies_of_a_misread_text(spark):
+    clean = [(f"c{k}", f"{PLAIN} Folio {k}.") for k in range(40)]
+    copies = [(f"w{k}", PLAIN.replace("curator", "cur@tor")) for k in range(20)]
+    found, _ = noise(spark, [*clean, *copies])
+    assert found == {(i, "chars") for i, _ in copies}
+
+
 def test_titles_and_compounds(spark):
     titles = spark.createDataFrame([("doct", "The Survey of the North"), ("docq", None)], "docId string, title string")
     compound = page(lines=["The well-known library keeps the well-known register, the well-", "known manuscript and", *LINES[1:]])
