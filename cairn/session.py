@@ -16,7 +16,8 @@ _OWNED: dict[str, SparkSession] = {}
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, from ``spark.checkpoint.dir``.
 
-    Only where the session names none (tests, a single machine) a temporary folder is set.
+    Only where the session names none and runs on a single machine a temporary folder is set; on a
+    cluster, whose executors would not share it, that is an error.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
@@ -25,6 +26,8 @@ def shared_dir(spark: SparkSession) -> str:
     current = context._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get().rstrip("/")
+    if not context.master.startswith("local[") and context.master != "local":
+        raise RuntimeError(f"spark.checkpoint.dir must name a folder that all executors of {context.master} share")
     context.setCheckpointDir(tempfile.mkdtemp(prefix="cairn-"))
     return context._jsc.sc().getCheckpointDir().get().rstrip("/")
 

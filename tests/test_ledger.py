@@ -6,7 +6,9 @@ from datetime import datetime, timedelta, timezone
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from cairn.operators.ledger import DONE, LEASED, PENDING, WorkLedger, next_run
+from pyspark.sql import functions as F
+
+from cairn.operators.ledger import DONE, EVENTS, LEASED, PENDING, WorkLedger, fold, next_run
 from tests.conftest import rows
 
 T0 = datetime(2025, 1, 1, tzinfo=timezone.utc)
@@ -91,7 +93,7 @@ def test_leases_and_commits(spark, tmp_path):
     ledger.write(claim, ledger.leased(claim))
     ledger.write(claim, ledger.leased(claim))  # a retry replaces
     assert spark.read.parquet(claim.path).count() == 2
-    assert ledger.commit(claim, now=4) == 2 and states(ledger, 1000) == {"a": DONE, "b": DONE}
+    assert ledger.commit(claim, now=4) == 2 and ledger.results().count() == 2 and states(ledger, 1000) == {"a": DONE, "b": DONE}
     # new content makes the item pending again
     ledger.add(items(spark, ("a", "2")), "batch2", now=5)
     assert states(ledger, 6) == {"a": PENDING, "b": DONE}
@@ -115,3 +117,78 @@ def test_parts_are_disjoint(spark, tmp_path):
     claims = [ledger.claim(10, now=1, part=(k, 3)) for k in range(3)]
     held = [{r.item for r in ledger.leased(c).collect()} for c in claims]
     assert sum(map(len, held)) == 40 and len(set.union(*held)) == 40
+
+
+def test_stale_writer_leaves_nothing_in_the_results(spark, tmp_path):
+    ledger = WorkLedger(spark, f"file://{tmp_path}/l")
+    assert ledger.results() is None
+    ledger.add(items(spark, ("a", "1"), ("b", "1")), "x", now=0)
+    slow = ledger.claim(10, now=0)
+    quick = ledger.claim(10, now=11)
+    out = lambda claim, who: ledger.write(claim, ledger.events().where("kind = 'add'").select("item", F.lit(who).alias("by")))
+    out(quick, "quick")
+    assert ledger.results().count() == 0  # written, but not committed
+    assert ledger.commit(quick, now=12) == 2
+    out(slow, "slow")
+    assert ledger.commit(slow, now=13) == 0
+    assert rows(ledger.results()) == [("a", "quick"), ("b", "quick")]
+    assert ledger.sweep() == [slow.token] and rows(ledger.results()) == [("a", "quick"), ("b", "quick")]
+
+
+def test_skewed_clock(spark, tmp_path):
+    """A stale commit by a clock that is behind is stale all the same."""
+    ledger = WorkLedger(spark, f"file://{tmp_path}/l")
+    ledger.add(items(spark, ("a", "1")), "x", now=0)
+    slow, quick = ledger.claim(10, now=0), ledger.claim(10, now=11)
+    # as if the slow writer had looked at what it holds before the other claim was written
+    ledger._write(items(spark, ("a", "1")), f"done-{slow.token}", "done", slow.token, ledger._number(), 9.0)
+    assert states(ledger, 12) == {"a": LEASED}
+    assert ledger.commit(quick, now=5) == 1 and states(ledger, 13) == {"a": DONE}
+    assert {r.done_token for r in ledger.states(13).collect()} == {quick.token}
+
+
+def test_two_claimers_at_once(spark, tmp_path, monkeypatch):
+    ledger, other = WorkLedger(spark, f"file://{tmp_path}/l"), WorkLedger(spark, f"file://{tmp_path}/l")
+    ledger.add(items(spark, ("a", "1"), ("b", "1")), "x", now=0)
+    before, seen = ledger.states(1).persist(), []
+    before.count()
+    monkeypatch.setattr(WorkLedger, "states", lambda self, now=None: (seen.append(1), before)[1] if len(seen) < 2 else fold(self.events(), F.timestamp_seconds(F.lit(now))).drop("added"))
+    one, two = ledger.claim(10, now=1), other.claim(10, now=1)  # both saw the items pending
+    assert one.token != two.token
+    for claim, who in ((one, "one"), (two, "two")):
+        ledger.write(claim, items(spark, ("a", who), ("b", who)))
+    assert ledger.commit(one, now=2) + other.commit(two, now=3) == 2
+    assert rows(ledger.results()) == [("a", "two"), ("b", "two")]
+
+
+def test_crash_between_write_and_commit(spark, tmp_path):
+    ledger = WorkLedger(spark, f"file://{tmp_path}/l")
+    ledger.add(items(spark, ("a", "1")), "x", now=0)
+    lost = ledger.claim(10, now=0)
+    ledger.write(lost, items(spark, ("a", "lost")))
+    again = ledger.claim(10, now=20)
+    ledger.write(again, items(spark, ("a", "half")))
+    ledger.write(again, items(spark, ("a", "whole")))  # a retry of the same claim replaces
+    assert ledger.commit(again, now=21) == 1 and rows(ledger.results()) == [("a", "whole")]
+
+
+def test_a_batch_entered_again_keeps_its_place(spark, tmp_path):
+    ledger = WorkLedger(spark, f"file://{tmp_path}/l")
+    ledger.add(items(spark, ("a", "1")), "first", now=0)
+    ledger.add(items(spark, ("a", "2")), "second", now=1)
+    ledger.add(items(spark, ("a", "1")), "first", now=2)
+    assert {r.hash for r in ledger.states(3).collect()} == {"2"}
+
+
+def test_work_of_a_run_under_way_is_not_given_out(spark):
+    chunks, log, runs = tables(spark, [("a", "d", "h", 1), ("b", "d", "h", 1)], [("r1", "a", "h")], [("r1", 1_000_000, None)])
+    at = lambda ms: F.timestamp_millis(F.lit(ms))
+    assert rows(next_run(chunks, log, runs, now=at(1_000_500), lease_ms=1000)) == [("chunk", "b", "new"), ("doc", "d", "new")]
+    assert len(rows(next_run(chunks, log, runs, now=at(1_002_000), lease_ms=1000))) == 3
+
+
+def test_fold_of_odd_events(spark):
+    ev = [(None, "h", "add", 0, 1, None, None), ("a", "h", "noise", 0, 1, None, None), ("b", None, "add", 0, 1, None, None), ("b", None, "done", 3, 4, None, None), ("c", "h", "done", 3, 4, None, None)]
+    got = {r.item: (r.state, r.hash, r.done_token) for r in fold(spark.createDataFrame(ev, EVENTS), None).collect()}
+    assert got == {"b": (PENDING, None, 3), "c": (DONE, None, 3)}
+    assert fold(spark.createDataFrame([], EVENTS), None).count() == 0
