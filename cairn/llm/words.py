@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 import xxhash
+from pyspark.sql import DataFrame
 
 #: Runs of letters and digits.
 WORD = re.compile(r"[^\W_]+")
@@ -52,3 +56,31 @@ def shingles(text: str | None, size: int, known: WordHashes) -> np.ndarray:
         for i in range(size):
             out = mix(out + h[i : i + n] + np.uint64(0x9E3779B97F4A7C15))
     return np.unique(out)
+
+
+def bit_filter(rows: DataFrame, hashes_of: Callable[[pa.Array], np.ndarray], bits: int, segments: int = 64) -> bytes:
+    """``bits`` packed bits (a power of two), of which those are set that hashes of the first column name.
+
+    Every task makes a filter of its own; they are united segment by segment, so that the driver
+    gets ``bits`` / 8 bytes, however many rows there are.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = np.zeros(bits, bool)
+        for batch in batches:
+            if batch.num_rows:
+                own[hashes_of(batch.column(0)) & np.uint64(bits - 1)] = True
+        parts = np.packbits(own).reshape(segments, -1)
+        used = np.flatnonzero(parts.any(axis=1))
+        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array([parts[k].tobytes() for k in used], pa.binary())], ["segment", "part"])
+
+    def unite(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = np.zeros(bits // 8 // segments, np.uint8)
+        for x in pdf["part"]:
+            out |= np.frombuffer(x, np.uint8)
+        return pd.DataFrame({"segment": pdf["segment"].iloc[:1], "part": [out.tobytes()]})
+
+    whole = np.zeros((segments, bits // 8 // segments), np.uint8)
+    for r in rows.mapInArrow(run, "segment int, part binary").groupBy("segment").applyInPandas(unite, "segment int, part binary").collect():
+        whole[r.segment] = np.frombuffer(r.part, np.uint8)
+    return whole.tobytes()

@@ -5,8 +5,9 @@ import random
 import numpy as np
 import pytest
 
-from cairn.llm.leaks import EDITED_BITS, _Items, edit_distance, leaks, repetitions
-from tests.conftest import rows
+from cairn.llm.leaks import BITS, _Items, _starts, edit_distances, leaks, repetitions
+from cairn.llm.words import WordHashes, hashes, words
+from tests.conftest import DATA, rows
 
 
 def sentence(seed, n=40):
@@ -40,12 +41,52 @@ DOCS = [
 ]
 
 
+@pytest.mark.parametrize("edits", [0, 1])
 @pytest.mark.parametrize("broadcast_words", [10**6, 0])
-def test_equals_brute_force(spark, broadcast_words):
+def test_equals_brute_force(spark, broadcast_words, edits):
     d, i = tables(spark, DOCS, ITEMS)
-    got = rows(leaks(d, i, broadcast_words=broadcast_words))
-    assert {(a, b) for a, b, _ in got} == plain(DOCS, ITEMS) and len(got) == len({x[:2] for x in got})
-    assert {(a, b): n for a, b, n in got}[12, 1] == len(ITEM) - 11
+    got = rows(leaks(d, i, edits=edits, broadcast_words=broadcast_words))
+    assert {(a, b) for a, b, _, k in got if k == 0} == plain(DOCS, ITEMS) and len(got) == len({x[:2] for x in got})
+    assert edits or {(a, b): n for a, b, n, _ in got}[12, 1] == len(ITEM) - 11
+    # eleven words of an item are one edit from its window of twelve
+    assert ((11, 1, 1) in {(a, b, k) for a, b, _, k in got}) == bool(edits)
+
+
+def test_both_ways_agree_on_a_hot_passage(spark):
+    docs = [(k, f"some words {k} " + " ".join(ITEM[k % 3 : 20])) for k in range(300)]
+    d, i = tables(spark, docs, ITEMS)
+    assert rows(leaks(d, i, edits=1, broadcast_words=0)) == rows(leaks(d, i, edits=1))
+
+
+@pytest.mark.parametrize("window", [12, 16])
+def test_recall_against_brute_force_on_the_tables(spark, window):
+    """Texts with an edited passage of an item put into them, all pairs of windows compared."""
+    r = random.Random(window)
+    items = [(x.item_id, x.text) for x in spark.read.parquet(f"{DATA}/eval_items.parquet").where("item_id % 5 = 0").orderBy("item_id").collect() if len(words(x.text)) > 20]
+    texts = [words(x.text) for x in spark.read.parquet(f"{DATA}/documents.parquet").orderBy("doc_id").limit(40).collect()]
+    placed = []
+    for k, t in enumerate(texts):
+        w = words(items[k % len(items)][1])
+        at = r.randrange(len(w) - 17)
+        part = w[at : at + 17]
+        for cut in (5, 11):
+            part[cut : cut + 1] = r.choice([["changed"], [], [part[cut], "more"]])
+        placed.append((k, " ".join(t[:60] + part + t[60:120])))
+    docs, items = spark.createDataFrame(placed, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    known = WordHashes()
+    own = {r.item_id: hashes(r.text, known) for r in items.collect()}
+    want = set()
+    for r in docs.collect():
+        h = np.concatenate([hashes(r.text, known), [np.uint64(0)]])
+        starts = _starts([len(h)], window)
+        theirs = np.concatenate([h, [np.uint64(0)]])[starts[:, None] + np.arange(window + 1)]
+        for i, x in own.items():
+            for p in _starts([len(x)], window).tolist() if len(starts) else []:
+                if (edit_distances(np.tile(x[p : p + window], (len(starts), 1)), theirs, 1) <= 1).any():
+                    want.add((r.doc_id, i))
+                    break
+    got = {(r.doc_id, r.item_id) for r in leaks(docs, items, window=window, edits=1).collect()}
+    assert len(want) >= 10 and got <= want and len(got) >= 0.95 * len(want)
 
 
 @pytest.mark.parametrize("broadcast_words", [10**6, 0])
@@ -57,18 +98,35 @@ def test_empty_tables(spark, broadcast_words):
 def test_edited_passages_reach_the_target_recall():
     r = random.Random(4)
     items = [(k, " ".join(sentence(100 + k, 16))) for k in range(150)]
-    ready = _Items(items, 16, 1, EDITED_BITS, repetitions(16, 1, EDITED_BITS))
+    ready = _Items(items, 16, 1, BITS, repetitions(16, 1, BITS))
     texts = []
     for _, t in items:
         w, at = t.split(), r.randrange(1, 15)
         w[at : at + 1] = r.choice([["changed"], [], [w[at], "more"]])
         texts.append("one two three " + " ".join(w) + " four five six")
-    found = {(t, i) for t, i, _ in ready.leaked(texts)}
-    assert np.mean([(k, k) in found for k in range(150)]) >= 0.95 and all(t == i for t, i in found)
-
-
-def test_edit_distance():
-    assert edit_distance(list("abcd"), list("abcd"), 2) == 0 and edit_distance(list("abcd"), list("abxd"), 2) == 1
-    assert edit_distance(list("abcd"), list("bcdef"), 2) == 1 and edit_distance(list("abcd"), list("wxyz"), 2) == 3
-    # only the beginning of the second counts
-    assert edit_distance(list("ab"), list("abcdef"), 2) == 0
+    found = {(t, i, k) for t, i, _, k in ready.leaked(texts)}
+    assert np.mean([(k, k, 1) in found for k in range(150)]) >= 0.95 and all(t == i for t, i, _ in found)
+
+
+def test_edit_distances():
+    code = lambda s: np.array([[ord(c) for c in s]], np.uint64)
+    near = lambda a, b, most: int(edit_distances(code(a), code(b), most)[0])
+    assert near("abcd", "abcd", 2) == 0 and near("abcd", "abxd", 2) == 1
+    assert near("abcd", "bcdef", 2) == 1 and near("abcd", "wxyz", 2) == 3
+    assert near("ab", "abcdef", 2) == 0  # only the beginning of the second counts
+
+    def plain_distance(a, b):
+        prev = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            row = [i]
+            for j, y in enumerate(b, 1):
+                row.append(min(prev[j] + 1, row[j - 1] + 1, prev[j - 1] + (x != y)))
+            prev = row
+        return min(prev)
+
+    r = random.Random(3)
+    for _ in range(300):
+        a = "".join(r.choice("abc") for _ in range(8))
+        b = "".join(r.choice("abc") for _ in range(10))
+        for most in (0, 1, 2):
+            assert near(a, b, most) == min(plain_distance(a, b), most + 1)
