@@ -21,5 +21,5 @@ def hash_sample(df: DataFrame, key: str, rows: int, within: str | None = None) -
         return df.where(drawn < below(df.count()))
     out = None
     for r in df.where(F.col(within).isNotNull()).groupBy(within).count().collect():
-        out = (out or F).when(F.col(within) == r[0], below(r[1]))
+        out = (F if out is None else out).when(F.col(within) == r[0], below(r[1]))
     return df.where(F.lit(False) if out is None else drawn < out)
