@@ -2,38 +2,51 @@
 
 A language's profile is the list of its most frequent character n-grams, the most frequent
 first. A sentence is ranked alike, and its distance to a profile is the sum of how far each of
-its n-grams is out of place there. Profiles are fitted on a bounded sample of labelled documents,
-twice: the second time without those that the first profiles place elsewhere, as labels may be
-wrong. All sentences of an Arrow batch are ranked together by sorting integers.
+its n-grams is out of place there. Characters are told apart by their code points, in any script.
+
+Profiles are fitted on a bounded sample of the documents of each label. A label is a language,
+however rare, if the profiles of one half of the sample place most of its documents of the other
+half under it; labels that are wrong scatter over the languages their documents are in. Profiles
+are then fitted anew on the documents that were placed under their own label. A sentence that is
+far from all profiles is in none of these languages.
 """
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cairn.operators.sampling import hash_sample
 from cairn.session import work_table
 
-#: n-grams of a profile; labelled documents that profiles are fitted on, at most.
-PROFILE, TRAIN_ROWS = 400, 2000
-#: A language needs this share of the sample's labels, and to keep this share of them in the refit.
-LEAST_SHARE, LEAST_KEPT = 0.03, 0.5
+#: n-grams of a profile; labelled documents of each label that profiles are fitted on, about.
+PROFILE, TRAIN_ROWS = 400, 300
+#: A label needs this share of its documents placed under it to be a language.
+LEAST_KEPT = 0.5
+#: A profile nearer than this to that of a more frequent label is the same language under another name.
+TWIN = 0.15
+#: A sentence of so many letters is in a known language if this share of its n-grams is in the profile;
+#: shorter ones that lack it count together, if they are half of a text.
+FAR_LETTERS, LEAST_KNOWN = 60, 0.68
 #: Characters of sentences that make a passage count; letters that a sentence needs for its own verdict.
 LEAST_CHARS, LEAST_LETTERS = 100, 15
 #: Characters laid end to end for one round of sorting.
 PIECE = 400_000
+#: What a language is called that no profile is near to.
+UNKNOWN = "und"
 
 #: Two-letter code: three-letter codes and English name.
 CODES = {
-    "cs": "ces cze czech", "da": "dan danish", "de": "deu ger german", "el": "ell gre greek", "en": "eng english",
-    "es": "spa spanish", "fi": "fin finnish", "fr": "fra fre french", "hu": "hun hungarian", "it": "ita italian",
-    "nl": "nld dut dutch", "no": "nor norwegian", "pl": "pol polish", "pt": "por portuguese", "ro": "ron rum romanian",
-    "ru": "rus russian", "sv": "swe swedish", "tr": "tur turkish",
+    "ar": "ara arabic", "bg": "bul bulgarian", "cs": "ces cze czech", "da": "dan danish", "de": "deu ger german", "el": "ell gre greek", "en": "eng english",
+    "es": "spa spanish", "fi": "fin finnish", "fr": "fra fre french", "he": "heb hebrew", "hi": "hin hindi", "hu": "hun hungarian", "it": "ita italian",
+    "ja": "jpn japanese", "ko": "kor korean", "nl": "nld dut dutch", "no": "nor norwegian", "pl": "pol polish", "pt": "por portuguese", "ro": "ron rum romanian",
+    "ru": "rus russian", "sv": "swe swedish", "tr": "tur turkish", "uk": "ukr ukrainian", "zh": "zho chi chinese",
 }
 #: Labels that name no language.
 PLACEHOLDERS = ("", "unknown", "und", "n/a", "na", "none", "null", "xx", "mul", "zxx", "-", "?")
@@ -42,33 +55,32 @@ _END = re.compile(r"[.!?…]+[\"'”’»)\]]*\s+(?=[^\W\d_a-zà-öø-ÿ]|[\d\"'
 
 
 def label_code(label: Column) -> Column:
-    """The two-letter code that a label spells in any way; null for placeholders and the unknown."""
+    """The two-letter code that a label spells in any way; null for placeholders and the unknown.
+
+    A code of two letters that isn't listed stands for itself.
+    """
     names = {c: c for c in CODES} | {x: c for c, xs in CODES.items() for x in xs.split()}
     table = F.create_map(*[F.lit(x) for kv in names.items() for x in kv])
     low = F.lower(F.trim(label))
-    return F.coalesce(F.try_element_at(table, low), F.try_element_at(table, F.regexp_extract(low, r"^([a-z]+)[-_ ].*", 1)))
+    first = F.regexp_extract(low, r"^([a-z]+)[-_ ].*", 1)
+    code = F.regexp_extract(low, r"^([a-z]{2})(?:[-_ ].*)?$", 1)
+    return F.coalesce(F.try_element_at(table, low), F.try_element_at(table, first), F.when(~low.isin(*PLACEHOLDERS) & ~code.isin(*PLACEHOLDERS), code))
 
 
-def _classes() -> np.ndarray:
-    """Character -> class below 64: 0 for what is no letter, then letters by code."""
-    table = np.zeros(0x10000, np.uint8)
-    letters = [*map(chr, range(ord("a"), ord("z") + 1)), *(c for c in map(chr, range(0xDF, 0x100)) if c.isalpha()), "œ", "ŵ"]
-    for i, c in enumerate(letters[:62]):
-        table[ord(c)] = i + 1
-    for code in range(0x100, 0x10000):
-        c = chr(code)
-        if not table[code] and c.isalpha():
-            table[code] = 63  # all further letters
-    return table
+#: Code points, and one more than their number: the radix of an n-gram's code.
+_POINTS, _RADIX = 0x110000, 0x110001
+_BIGRAM, _UNIGRAM = _RADIX**3, _RADIX**3 + _RADIX**2
 
 
-_CLASS = _classes()
+@functools.cache
+def _letters() -> np.ndarray:
+    return np.fromiter((chr(i).isalpha() for i in range(_POINTS)), bool, _POINTS)
 
 
-def _codes(text: str) -> np.ndarray:
-    """Classes of the characters of a lower-cased text."""
+def _points(text: str) -> np.ndarray:
+    """Code points of a text, 0 for what is no letter."""
     points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    return _CLASS[np.minimum(points, 0xFFFF)].astype(np.int32)
+    return np.where(_letters()[points], points, 0).astype(np.int64)
 
 
 def _lower(text: str) -> str:
@@ -91,51 +103,92 @@ def sentences(text: str) -> list[tuple[int, int]]:
     return out
 
 
-def _grams(c: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-    """``(positions, codes)`` of all n-grams of 1 to 3 whose middle, or only, character is a letter."""
-    if not len(c):
-        return []
+def _grams(text: str) -> np.ndarray:
+    """Codes of all n-grams of 1 to 3 whose middle, or only, character is a letter."""
+    c = np.concatenate([[0], _points(text), [0]])
     one = np.flatnonzero(c)
-    pad = np.concatenate([[0], c, [0]]).astype(np.int32)
-    left, mid, right = pad[one], pad[one + 1], pad[one + 2]
-    return [(one, mid), (one, (1 << 6) * (1 + mid) + right + (1 << 18)), (one, (left << 12) | (mid << 6) | right | (1 << 20))]
+    left, mid, right = c[one - 1], c[one], c[one + 1]
+    return np.concatenate([_UNIGRAM + mid, _BIGRAM + mid * _RADIX + right, (left * _RADIX + mid) * _RADIX + right])
 
 
-_SPACE = (1 << 20) + (1 << 18)
+def _characters(gram: int) -> tuple[int, ...]:
+    """The code points of an n-gram."""
+    if gram >= _UNIGRAM:
+        return (gram - _UNIGRAM,)
+    if gram >= _BIGRAM:
+        return divmod(gram - _BIGRAM, _RADIX)
+    return (*divmod(gram // _RADIX, _RADIX), gram % _RADIX)
 
 
 class Profiles:
+    """Profiles of some languages; ``names`` has one more, that of what is near to none."""
+
     def __init__(self, languages: list[str], ranked: list[list[int]]):
-        self.languages, self.size = languages, PROFILE
+        self.languages, self.ranked, self.size = languages, ranked, PROFILE
+        self.names = [*languages, UNKNOWN]
+        self._ready = False
+
+    def __getstate__(self):
+        return {"languages": self.languages, "ranked": self.ranked}
+
+    def __setstate__(self, state):
+        self.__init__(**state)
+
+    def _prepare(self) -> None:
+        """Tables from characters to the vocabulary of all profiles, level by level."""
         grams: dict[int, int] = {}
         for k in range(PROFILE):  # the order of the vocabulary: frequent ones first
-            for r in ranked:
+            for r in self.ranked:
                 if k < len(r):
                     grams.setdefault(r[k], len(grams))
-        self.vocabulary = np.full(_SPACE, -1, np.int32)
-        self.ranks = np.full((len(languages), max(1, len(grams))), PROFILE, np.int32)
+        spelled = {g: _characters(g) for g in grams}
+        alphabet = sorted({c for cs in spelled.values() for c in cs if c})
+        wide = len(alphabet) + 2  # and what is no letter, and letters that no profile has
+        self.classes = np.where(_letters(), wide - 1, 0).astype(np.uint16)
+        self.classes[alphabet] = np.arange(1, wide - 1)
+        own = {0: 0} | {c: i for i, c in enumerate(alphabet, 1)}
+        self.one, self.two = np.full(wide, -1, np.int32), np.full((wide, wide), -1, np.int32)
+        self.begin = np.zeros((wide, wide), np.int32)
+        starts = sorted({(own[cs[0]], own[cs[1]]) for cs in spelled.values() if len(cs) == 3})
+        for i, at in enumerate(starts, 1):
+            self.begin[at] = i
+        self.three = np.full((len(starts) + 1, wide), -1, np.int32)
         for g, i in grams.items():
-            self.vocabulary[g] = i
-        for lang, r in enumerate(ranked):
+            cs = [own[c] for c in spelled[g]]
+            if len(cs) == 1:
+                self.one[cs[0]] = i
+            elif len(cs) == 2:
+                self.two[cs[0], cs[1]] = i
+            else:
+                self.three[self.begin[cs[0], cs[1]], cs[2]] = i
+        self.ranks = np.full((len(self.languages), max(1, len(grams))), PROFILE, np.int32)
+        for lang, r in enumerate(self.ranked):
             for k, g in enumerate(r[:PROFILE]):
                 self.ranks[lang, grams[g]] = k
+        self._ready = True
 
-    def distances(self, text: str, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def _found(self, text: str) -> tuple[np.ndarray, list[np.ndarray]]:
+        """Where a text's letters are, and the number in the vocabulary, or -1, of the 1-, 2- and 3-gram there."""
+        c = np.concatenate([[0], self.classes[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)], [0]])
+        one = np.flatnonzero(c)
+        left, mid, right = c[one - 1], c[one], c[one + 1]
+        return one - 1, [self.one[mid], self.two[mid, right], self.three[self.begin[left, mid], right]]
+
+    def distances(self, text: str, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of each part of a lower-cased text, the parts beginning at ``starts``: the mean
-        out-of-place distance to every profile, as a share of the largest; and its letters."""
+        out-of-place distance to every profile, as a share of the largest; its letters; and
+        the share of its n-grams that are in the nearest profile."""
+        if not self._ready:
+            self._prepare()
         parts, v = len(starts), self.ranks.shape[1]
-        c = _codes(text)
-        part_of = np.repeat(np.arange(parts, dtype=np.int64), np.diff(np.append(starts, len(text))))
-        letters = np.bincount(part_of[c > 0], minlength=parts)
-        keys = []
-        for pos, code in _grams(c):
-            g = self.vocabulary[code]
-            hit = g >= 0
-            keys.append(part_of[pos[hit]] * v + g[hit])
+        at, found = self._found(text)
+        part_of = np.repeat(np.arange(parts, dtype=np.int64), np.diff(np.append(starts, len(text))))[at]
+        letters = np.bincount(part_of, minlength=parts)
+        keys = [part_of[g >= 0] * v + g[g >= 0] for g in found]
         key = np.sort(np.concatenate(keys)) if keys else np.zeros(0, np.int64)
         out = np.ones((parts, len(self.languages)))
         if not len(key):
-            return out, letters
+            return out, letters, np.zeros(parts)
         first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         count = np.diff(np.append(first, len(key)))
         part, gram = np.divmod(key[first], v)
@@ -150,11 +203,17 @@ class Profiles:
             place = ranks[gram]
             off = np.where(place == self.size, self.size, np.minimum(np.abs(place - rank), self.size))
             out[part[begin], lang] = np.add.reduceat(off, begin) / (n * self.size)
-        return out, letters
+        nearest, known = out.argmin(axis=1), np.zeros(parts)
+        for g in found:
+            hit = np.flatnonzero(g >= 0)
+            own = part_of[hit]
+            known += np.bincount(own[self.ranks[nearest[own], g[hit]] < self.size], minlength=parts)
+        return out, letters, known / (3 * np.maximum(letters, 1))
 
     def verdicts(self, texts: list[str]) -> list[list[tuple[int, int, int, float]]]:
-        """For each text the sentences ``(start, end, language, confidence)``; a text without
-        letters has none. Sentences too short for a verdict of their own take their neighbour's."""
+        """For each text the sentences ``(start, end, language, confidence)``, the language by its
+        place in ``names``; a text without letters has none. Sentences too short for a verdict of
+        their own take their neighbour's."""
         spans = [sentences(t) for t in texts]
         joined, starts = [], []
         at = 0
@@ -166,17 +225,24 @@ class Profiles:
                 at += b - a + 1
         if not joined:
             return [[] for _ in texts]
-        dist, letters = self.distances("\n".join(joined), np.array(starts))
+        dist, letters, known = self.distances("\n".join(joined), np.array(starts))
         order = np.argsort(dist, axis=1, kind="stable")
         best = order[:, 0]
         rows = np.arange(len(dist))
         low_, next_ = dist[rows, best], dist[rows, order[:, min(1, dist.shape[1] - 1)]]
         sure = np.where(next_ > 0, 1 - low_ / np.maximum(next_, 1e-9), 0.0)
+        verdict = np.where((letters >= LEAST_LETTERS) & (low_ < 1), best, -1)
+        count = np.array([len(ss) for ss in spans])
+        text_of = np.repeat(np.arange(len(texts)), count)
+        doubtful = (letters >= LEAST_LETTERS) & (known < LEAST_KNOWN)
+        odd, all_ = (np.bincount(text_of, weights=w, minlength=len(texts)) for w in (letters * doubtful, letters))
+        together = doubtful & ((odd >= FAR_LETTERS) & (2 * odd >= all_))[text_of]
+        verdict[doubtful & (letters >= FAR_LETTERS) | together | (letters >= LEAST_LETTERS) & (low_ >= 1)] = len(self.languages)
         out, k = [], 0
         for ss in spans:
             own = []
             for a, b in ss:
-                own.append([a, b, int(best[k]) if letters[k] >= LEAST_LETTERS and low_[k] < 1 else -1, float(sure[k])])
+                own.append([a, b, int(verdict[k]), float(sure[k])])
                 k += 1
             last = next((x[2] for x in own if x[2] >= 0), -1)
             for x in own:
@@ -188,63 +254,83 @@ class Profiles:
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """``(code, gram, n)`` over ``(code, text)``."""
-    total: dict[str, np.ndarray] = {}
+    """``(code, half, gram, n)`` over ``(code, half, text)``."""
     for batch in batches:
-        for code, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            table = total.setdefault(code, np.zeros(_SPACE, np.int64))
-            for _, g in _grams(_codes(_lower(text))):
-                table += np.bincount(g, minlength=_SPACE)
-    for code, table in total.items():
-        g = np.flatnonzero(table)
-        yield pa.RecordBatch.from_arrays([pa.array([code] * len(g), pa.string()), pa.array(g.astype(np.int32)), pa.array(table[g])], ["code", "gram", "n"])
-
-
-def _profiles(sample: DataFrame, languages: list[str]) -> Profiles:
-    counts = sample.select("code", "text").mapInArrow(_count, "code string, gram int, n long").groupBy("code", "gram").agg(F.sum("n").alias("n"))
-    rank = F.row_number().over(_by_count())
-    top = counts.withColumn("r", rank).where(F.col("r") <= PROFILE).collect()  # PROFILE rows a language
-    return Profiles(languages, [[r.gram for r in sorted((r for r in top if r.code == lang), key=lambda r: r.r)] for lang in languages])
-
+        texts: dict[tuple[str, int], list[str]] = {}
+        for code, half, text in zip(*(c.to_pylist() for c in batch.columns)):
+            texts.setdefault((code, half), []).append(_lower(text))
+        for (code, half), parts in texts.items():
+            g, n = np.unique(_grams("\n".join(parts)), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array([code] * len(g), pa.string()), pa.array(np.full(len(g), half, np.int32)), pa.array(g), pa.array(n)], ["code", "half", "gram", "n"])
+
+
+def _profiles(sample: DataFrame, halves: tuple[int, ...]) -> list[Profiles]:
+    """Profiles of each half of a sample ``(code, half, text)``, on the driver: PROFILE rows a language."""
+    counts = sample.select("code", "half", "text").mapInArrow(_count, "code string, half int, gram long, n long").groupBy("code", "half", "gram").agg(F.sum("n").alias("n"))
+    rank = F.row_number().over(Window.partitionBy("code", "half").orderBy(F.desc("n"), "gram"))
+    top: dict[tuple[int, str], list[int]] = {}
+    for r in sorted(counts.withColumn("r", rank).where(F.col("r") <= PROFILE).collect(), key=lambda r: r.r):
+        top.setdefault((r.half, r.code), []).append(r.gram)
+    out = []
+    for h in halves:
+        languages = sorted(c for half, c in top if half == h)
+        out.append(Profiles(languages, [top[h, c] for c in languages]))
+    return out
 
-def _by_count():
-    from pyspark.sql import Window
 
-    return Window.partitionBy("code").orderBy(F.desc("n"), "gram")
+def apart(a: list[int], b: list[int]) -> float:
+    """Out-of-place distance of two profiles, as a share of the largest."""
+    place = {g: k for k, g in enumerate(b[:PROFILE])}
+    return sum(min(abs(place[g] - k), PROFILE) if g in place else PROFILE for k, g in enumerate(a[:PROFILE])) / (PROFILE * max(1, len(a[:PROFILE])))
 
 
 def fit(documents: DataFrame, id_col: str = "docId", text: str = "text", label: str = "language", rows: int = TRAIN_ROWS) -> Profiles:
-    """Profiles of the languages that labels name, from at most ``rows`` labelled documents."""
-    labelled = documents.select(F.col(id_col).alias("id"), label_code(F.col(label)).alias("code"), F.col(text).alias("text")).where("code IS NOT NULL AND length(text) >= 200")
-    sample = work_table(labelled.orderBy(F.xxhash64("id")).limit(rows).repartition(8), "labelled")
-    counted = {r[0]: r[1] for r in sample.groupBy("code").count().collect()}
-    total = sum(counted.values()) or 1
-    languages = sorted(c for c, n in counted.items() if n >= LEAST_SHARE * total)
-    if not languages:
-        return Profiles([], [])
-    first = _profiles(sample.where(F.col("code").isin(languages)), languages)
+    """Profiles of the languages that labels name, from about ``rows`` labelled documents of each.
+
+    Of repeated rows of an id one counts. A label that a single document bears can't be confirmed
+    and has no profile; documents in a language without one are left without a verdict.
+    """
+    labelled = documents.select(F.col(id_col).alias("id"), label_code(F.col(label)).alias("code"), F.col(text).alias("text")).where("id IS NOT NULL AND code IS NOT NULL AND length(text) >= 200")
+    some = hash_sample(labelled, "id", rows, "code").groupBy("id").agg(F.max(F.struct("code", "text")).alias("r"))
+    place = F.row_number().over(Window.partitionBy("r.code").orderBy(F.xxhash64("id"), "id"))  # over a sample
+    sample = work_table(some.select("id", F.col("r.code").alias("code"), F.col("r.text").alias("text"), (place % 2).cast("int").alias("half")).repartition(8), "labelled")
+    halves = _profiles(sample, (0, 1))
+    # the same language under a second name: the name that fewer documents bear goes
+    names = {r[0]: r[1] for r in labelled.groupBy("code").count().collect()}
+    order = sorted(names, key=lambda c: (-names[c], c))
+    ranked = [dict(zip(h.languages, h.ranked)) for h in halves]
+    twin = lambda a, b: any(a in r and b in r and apart(r[a], r[b]) < TWIN for r in ranked)
+    good: list[str] = []
+    for c in order:
+        if not any(twin(c, x) for x in good):
+            good.append(c)
+    halves = [Profiles([c for c in h.languages if c in good], [r[c] for c in h.languages if c in good]) for h, r in zip(halves, ranked)]
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own = []
-            for code, spans in zip(batch.column(1).to_pylist(), first.verdicts(batch.column(2).to_pylist())):
-                weight = np.zeros(len(languages))
-                for a, b, lang, _ in spans:
-                    weight[lang] += b - a
-                own.append(bool(weight.any()) and languages[int(weight.argmax())] == code)
-            yield batch.filter(pa.array(own, pa.bool_()))
-
-    kept = work_table(sample.where(F.col("code").isin(languages)).mapInArrow(keep, sample.schema), "kept")
+            _, codes, texts, half = (c.to_pylist() for c in batch.columns)
+            own = np.zeros(len(codes), bool)
+            for h in (0, 1):
+                judge, mine = halves[1 - h], [i for i, x in enumerate(half) if x == h]
+                for i, spans in zip(mine, judge.verdicts([texts[i] for i in mine]) if judge.languages else []):
+                    weight = np.zeros(len(judge.names))
+                    for a, b, lang, _ in spans:
+                        weight[lang] += b - a
+                    own[i] = bool(weight.any()) and judge.names[int(weight.argmax())] == codes[i]
+            yield batch.filter(pa.array(own))
+
+    kept = work_table(sample.mapInArrow(keep, sample.schema), "kept")
+    counted = {r[0]: r[1] for r in sample.groupBy("code").count().collect()}
     left = {r[0]: r[1] for r in kept.groupBy("code").count().collect()}
-    languages = [c for c in languages if left.get(c, 0) >= LEAST_KEPT * counted[c]]
-    return _profiles(kept.where(F.col("code").isin(languages)), languages)
+    languages = [c for c, n in left.items() if n >= LEAST_KEPT * counted[c]]
+    return _profiles(kept.where(F.col("code").isin(languages)).withColumn("half", F.lit(0)), (0,))[0] if languages else Profiles([], [])
 
 
 def passages(texts: DataFrame, profiles: Profiles, id_col: str, owner: str, text: str) -> DataFrame:
     """``(id, owner, segments, chars)`` of every row.
 
     ``segments`` are the runs of sentences in one language, ``array<struct<start, end, lang,
-    confidence>>`` in code points of the text; ``chars`` maps a language to the characters of its
+    confidence>>`` in code points of the text, 'und' where no profile is near; ``chars`` maps a language to the characters of its
     sentences. Null, empty and letterless texts have none. Rows with a null id are left out.
     """
     src = texts.select(F.col(id_col).alias("id"), F.col(owner).alias("owner"), F.coalesce(F.col(text), F.lit("")).alias("text")).where("id IS NOT NULL")
@@ -265,7 +351,7 @@ def passages(texts: DataFrame, profiles: Profiles, id_col: str, owner: str, text
                     runs: list[list] = []
                     total: dict[str, int] = {}
                     for a, b, lang, sure in spans:
-                        name = p.languages[lang]
+                        name = p.names[lang]
                         total[name] = total.get(name, 0) + b - a
                         if runs and runs[-1][2] == name:
                             r = runs[-1]
@@ -284,20 +370,22 @@ def passages(texts: DataFrame, profiles: Profiles, id_col: str, owner: str, text
 
 def document_languages(found: DataFrame) -> DataFrame:
     """``(owner, lang, confidence)``: the language most characters of an owner's rows are in, and
-    its share of them. Equal shares go to the code that sorts first."""
+    its share of them. Equal shares go to the code that sorts first. 'und' is what no profile is
+    near to."""
     chars = found.where("owner IS NOT NULL").select("owner", F.explode("chars").alias("lang", "n")).groupBy("owner", "lang").agg(F.sum("n").alias("n"))
     best = chars.groupBy("owner").agg(F.min(F.struct((-F.col("n")).alias("n"), "lang")).alias("b"), F.sum("n").alias("all"))
     return best.select("owner", F.col("b.lang").alias("lang"), (-F.col("b.n") / F.col("all")).alias("confidence"))
 
 
 def mislabelled(documents: DataFrame, found: DataFrame, id_col: str = "docId", label: str = "language") -> DataFrame:
-    """``(id, label, lang, confidence)``: documents whose label is missing or names another language."""
+    """``(id, label, lang, confidence)``: documents whose label is missing or names another language.
+    Where the text is in no known language, nothing is said against the label."""
     labels = documents.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("owner"), F.col(label).alias("label"))
-    joined = labels.join(document_languages(found), "owner")
+    joined = labels.join(document_languages(found).where(F.col("lang") != UNKNOWN), "owner")
     return joined.where(~label_code(F.col("label")).eqNullSafe(F.col("lang"))).select(F.col("owner").alias("id"), "label", "lang", "confidence")
 
 
 def mixed(found: DataFrame, least: int = LEAST_CHARS) -> DataFrame:
-    """``(id, lang, chars)``: rows with at least ``least`` characters in two or more languages."""
-    many = F.map_filter("chars", lambda _, n: n >= least)
+    """``(id, lang, chars)``: rows with at least ``least`` characters in two or more known languages."""
+    many = F.map_filter("chars", lambda k, n: (n >= least) & (k != UNKNOWN))
     return found.where(F.size(many) > 1).select("id", F.explode(many).alias("lang", "chars"))

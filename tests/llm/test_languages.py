@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from cairn.llm.languages import document_languages, fit, label_code, mislabelled, mixed, passages, sentences
+from cairn.llm.languages import apart, document_languages, fit, label_code, mislabelled, mixed, passages, sentences
 from tests.conftest import rows
 
 #: A few ordinary sentences of each language, of which texts are made.
@@ -20,6 +20,16 @@ def text(lang, n, seed):
     return " ".join(r.choice(LINES[lang]) for _ in range(n))
 
 
+#: Languages of other scripts and of other letters.
+OTHERS = {
+    "el": ["Η παλιά βιβλιοθήκη φυλάσσει κάθε έκθεση που έγραψε η επιτροπή.", "Περπατούσε αργά στους ήσυχους δρόμους της μικρής πόλης.", "Κανείς δεν ξέρει αν η απάντηση ήταν σωστή ή λάθος."],
+    "ru": ["Старая библиотека хранит каждый отчет, который написал комитет.", "Она медленно шла по тихим улицам маленького города.", "Никто не знает, был ли ответ правильным или ложным."],
+    "pl": ["Stara biblioteka przechowuje każdy raport, który napisała komisja.", "Szła powoli cichymi ulicami małego miasteczka.", "Nikt nie wie, czy odpowiedź była słuszna, czy błędna."],
+    "tr": ["Eski kütüphane, komitenin yazdığı her raporu saklıyor.", "Küçük kasabanın sessiz sokaklarında yavaşça yürüdü.", "Cevabın doğru mu yanlış mı olduğunu kimse bilmiyor."],
+    "zh": ["旧图书馆保存着委员会写的每一份报告。 ", "她慢慢地走过小镇安静的街道，天气比他们想的更冷。 ", "没有人知道答案是对的还是错的，我们应该在冬天之前完成这项工作。 "],
+}
+
+
 def documents(spark):
     data = []
     for k in range(90):
@@ -30,7 +40,7 @@ def documents(spark):
 
 
 def test_label_spellings(spark):
-    cases = {"en": "en", "EN": "en", " en-US ": "en", "en_GB": "en", "eng": "en", "English": "en", "deu": "de", "ger": "de", "German": "de", "pt-BR": "pt", "unknown": None, "und": None, "": None, "n/a": None, "xx": None, "klingon": None, None: None, "nl": "nl"}
+    cases = {"en": "en", "EN": "en", " en-US ": "en", "en_GB": "en", "eng": "en", "English": "en", "deu": "de", "ger": "de", "German": "de", "pt-BR": "pt", "unknown": None, "und": None, "": None, "n/a": None, "xx": None, "klingon": None, "eu": "eu", "eu-ES": "eu", "zz9": None, "Ukrainian": "uk", None: None, "nl": "nl"}
     df = spark.createDataFrame([(i, c) for i, c in enumerate(cases)], "i int, x string").select("i", label_code(F.col("x")))
     assert [r[1] for r in sorted(df.collect())] == list(cases.values())
 
@@ -81,3 +91,35 @@ def test_nothing_to_learn_from(spark):
 def test_sentences():
     t = "One is here. Two 3.5 follows! “Three?” Four (Fig. 2) ends"
     assert [t[a:b] for a, b in sentences(t)][:2] == ["One is here.", "Two 3.5 follows!"] and sentences("") == [] and sentences("  \n ") == []
+
+
+def test_other_scripts_and_rare_languages(spark):
+    """Half a percent of the documents are enough for a language, and letters are told apart in any script."""
+    r = random.Random(7)
+    lines = LINES | OTHERS
+    make = lambda lang, n: " ".join(r.choice(lines[lang]) for _ in range(n))
+    data = [(f"d{k}", make(("en", "de", "fr")[k % 3], 10), ("en", "de", "fr")[k % 3]) for k in range(1000)]
+    data += [(f"{lang}{k}", make(lang, 12), lang) for lang in OTHERS for k in range(5)]
+    # labels that no document of theirs bears rightly
+    data += [(f"w{k}", make(("en", "de", "fr")[k % 3], 10), "it") for k in range(12)]
+    profiles = fit(spark.createDataFrame(data, "docId string, text string, language string"))
+    assert profiles.languages == sorted(lines)
+    for lang in lines:
+        (_, _, got, _), *_ = profiles.verdicts([make(lang, 3)])[0]
+        assert profiles.names[got] == lang
+    ranked = dict(zip(profiles.languages, profiles.ranked))
+    assert apart(ranked["el"], ranked["ru"]) > 0.9 and apart(ranked["pl"], ranked["tr"]) > 0.4
+
+
+def test_a_language_without_a_profile_is_none(spark):
+    docs = documents(spark)
+    profiles = fit(docs)
+    chunks = [("c1", "d1", " ".join(OTHERS["ru"])), ("c2", "d2", " ".join(OTHERS["tr"] * 2)), ("c3", "d3", text("en", 5, 1) + " " + " ".join(OTHERS["el"]))]
+    found = passages(spark.createDataFrame(chunks, "chunkId string, docId string, chunkText string"), profiles, "chunkId", "docId", "chunkText")
+    assert dict(r[:2] for r in rows(document_languages(found))) == {"d1": "und", "d2": "und", "d3": "en"}
+    assert mixed(found).count() == 0 and {r.id for r in mislabelled(docs, found).collect()} <= {"d3"}
+
+
+def test_one_language_under_two_names(spark):
+    data = [(f"d{k}", text("en", 12, k), "en") for k in range(40)] + [(f"x{k}", text("en", 12, 100 + k), "nl") for k in range(20)] + [(f"f{k}", text("fr", 12, k), "fr") for k in range(20)]
+    assert fit(spark.createDataFrame(data, "docId string, text string, language string")).languages == ["en", "fr"]
