@@ -3,9 +3,12 @@
 Misrecognised characters: a word's anagram value is the sum of the fifth powers of its code
 points, so a confusion of characters changes it by a fixed difference, wherever in the word it
 is. Rare words are joined with frequent ones by value plus difference, in SQL; a hit is verified
-on the strings, and a word's corrections are ranked. Running headers and page numbers are lines
-that don't belong to the flow of wrapped lines around them. A hyphen at a line end is noise if
-the vocabulary has the word without it rather than with it.
+on the strings, and a word's corrections are ranked. Which confusions there are is learned from the
+vocabulary: of the frequent words that hold the right characters, a good share has a rare double
+with the wrong ones, which chance and inflection don't make. Running headers and page numbers are
+lines that don't belong to the flow of wrapped lines around them; a header's shape, its names and
+numbers masked, is one that breaks the flow in most of the texts that have it. A hyphen at a line
+end is noise if the vocabulary has the word without it rather than with it.
 """
 
 from __future__ import annotations
@@ -16,22 +19,32 @@ import json
 import re
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cairn.llm.words import bit_filter
+from cairn.operators.spread import spread_join
 from cairn.session import work_table
 
-#: What is recognised, and what stands on the page.
+#: Usual confusions, what is recognised and what stands on the page, for texts too few
+#: to learn from; :func:`learned_confusions` adds those of the scans at hand, in either direction.
 CONFUSIONS = (
     ("c", "e"), ("@", "a"), ("f", "t"), ("l", "i"), ("0", "o"), ("ii", "u"), ("5", "s"), ("1", "l"), ("cl", "d"),
     ("rn", "m"), ("9", "g"), ("b", "h"), ("6", "b"), ("vv", "w"), ("h", "li"), ("m", "rn"),
 )
 #: A correction needs this count and this many times the count of the word it corrects.
 LEAST_COUNT, RATIO = 5, 20
+#: A confusion is learned from words with this count: so many of them at least, and this share of
+#: those with the right characters, need a rare double with the wrong ones.
+LEARN_COUNT, LEARN_WORDS, LEARN_SHARE = 100, 5, 0.2
+#: Frequent words up to which they are sent to every task that learns.
+BROADCAST_WORDS = 20_000
+#: A line's shape is a header's if surely (2.5 %) more than this share of its lines break the flow.
+ODD_SHARE = 0.45
 #: Share of capitals above which a word may be a name, and below which its correction is none.
 NAME, ORDINARY = 0.5, 0.1
 #: Shortest word corrected; shortest corrected by two confusions.
@@ -43,15 +56,17 @@ FILTER_BITS = 1 << 24
 #: Distinct words a task counts before it hands them on.
 FLUSH = 200_000
 
-_WORD = re.compile(r"(?:[^\W_]|@)+")
+_WORD = re.compile(r"(?:[^\W_]|@|(?<=[^\W\d_])[|!$](?=[^\W\d_]))+")
 _COMPOUND = re.compile(r"[^\W\d_]+(?:-[^\W\d_]+)+")
-_PAGE = re.compile(r"^\s*(?:[-—–\[(]\s*)?(?:(?:page|seite|página|pagina|pág\.|pag\.|p\.|s\.)\s*)?(?:\d{1,4}(?:\s*/\s*\d{1,4})?|[ivxlc]{1,8})(?:\s*[-—–\])])?\s*$", re.I)
+_ROMAN = r"(?=[ivxlc])c{0,3}(?:xc|xl|l?x{0,3})(?:ix|iv|v?i{0,3})"
+#: A page number that says so, and a bare one.
+_PAGE = re.compile(rf"^\s*(?:[-—–\[(]\s*)?(?:(?:page|seite|página|pagina|pág\.|pag\.|p\.|s\.)\s*)?(\d{{1,4}}(?:\s*/\s*\d{{1,4}})?|{_ROMAN})(?:\s*[-—–\])])?\s*$", re.I)
+_BARE = re.compile(rf"^\s*(\d{{1,4}}|{_ROMAN})\s*$", re.I)
 _WITH_PAGE = re.compile(r"^\s*\d{1,4}\s{2,}\S.*$|^.*\S\s+\|\s+\d{1,4}\s*$")
-#: What running headers of journals, proceedings and papers look like.
-_HEADER = re.compile(r"^\W*proc\. \S+(?: \S{4})?\s*$|·\s*vol\b|\bet al\. —", re.I)
 _STOP = re.compile(r"[.!?…:;]['\"”’»)\]]*\s*$")
 _BROKEN = re.compile(rf"([^\W_]+)[{MARKS}]\s*$")
 _LOST_BREAK = re.compile(rf"([^\W\d_]+)([{MARKS}]) ([^\W\d_]+)")
+_DIGITS = re.compile(r"\d+")
 _BEGIN = re.compile(r"\s*([^\W_]+)")
 #: After a hyphen these words continue a list, not the word.
 _LISTS = frozenset("and or to und oder bis et ou y e o u".split())
@@ -70,39 +85,93 @@ def _like_title(line: str, title: str | None) -> bool:
     return len(line) - len(start) <= 1 and difflib.SequenceMatcher(None, line, start, autojunk=False).ratio() >= 0.85
 
 
-def edge_lines(lines: list[str], title: str | None = None) -> list[str]:
-    """For each line '', 'header', 'page_no' or 'both'."""
+def _token(word: str) -> str:
+    """A word of a shape: numbers and names are masked, abbreviations are not."""
+    word = _DIGITS.sub("#", word)
+    return "X" if word[:1].isupper() and word.isalpha() else word.lower()
+
+
+def shapes(line: str) -> list[str]:
+    """How a line begins, with three words and with four, and all of a shorter one.
+
+    Three names alone say nothing of a line that goes on.
+    """
+    words = [_token(w) for w in line.split()[:5]]
+    begins = [" ".join(words[:k]) for k in (3, 4) if k < len(words) or k == len(words) == 4]
+    return [x for x in begins if x.strip("X ")] + ([" ".join(words) + "$"] if 1 < len(words) < 4 else [])
+
+
+def _natural(a: str, b: str, width: int) -> bool:
+    """Would wrapping break after ``a`` before ``b``?"""
+    first = b.split()
+    return len(a.rstrip()) <= width + 3 and len(a.rstrip()) + 1 + len(first[0] if first else "") > width - 3
+
+
+def _width(lines: list[str], flow: list[int]) -> int:
+    """The width that the lines of the flow are wrapped at; 0 if it can't be told."""
+    inner = [len(lines[i].rstrip()) for i in flow[:-1] if not _BROKEN.search(lines[i])]
+    return min(max(inner), sorted(inner)[len(inner) // 2] + 10) if inner else 0
+
+
+def line_shapes(lines: list[str]) -> list[tuple[str, bool]]:
+    """``(shape, does it break the flow)`` of the lines that don't end a sentence."""
+    flow = [i for i, x in enumerate(lines) if x.strip() and not _PAGE.match(x)]
+    width = _width(lines, flow)
+    if not width:
+        return []
+    breaks = [not _natural(lines[i], lines[j], width) and not _BROKEN.search(lines[i]) for i, j in zip(flow, flow[1:])]
+    return [(s, (k < len(breaks) and breaks[k]) or (k > 0 and breaks[k - 1])) for k, i in enumerate(flow) if not _STOP.search(lines[i]) for s in shapes(lines[i])]
+
+
+def _bare_pages(lines: list[str]) -> set[int]:
+    """Lines of nothing but a number that are page numbers.
+
+    A short numeral and a number of four digits may be words of the text. They need to stand at an
+    edge; or else a numeral to have room in the line before it, which wrapping would have used, and
+    a number its neighbour among the text's page numbers.
+    """
+    values = {i: m.group(1) for i, x in enumerate(lines) if (m := _PAGE.match(x))}
+    filled = [i for i, x in enumerate(lines) if x.strip()]
+    numbers = {int(v) for v in values.values() if v.isdigit()}
+    out = set()
+    for i, v in values.items():
+        if _BARE.match(lines[i]) and (len(v) == 4 if v.isdigit() else len(v) < 3) and i not in (filled[0], filled[-1]):
+            near = v.isdigit() and {int(v) - 1, int(v) + 1} & numbers
+            room = not v.isdigit() and len(lines[i - 1].rstrip()) + 1 + len(v) <= max(len(x.rstrip()) for x in lines)
+            if not near and not room:
+                continue
+        out.add(i)
+    return out
+
+
+def edge_lines(lines: list[str], title: str | None = None, header: Callable[[str], bool] = lambda line: False) -> list[str]:
+    """For each line '', 'header', 'page_no' or 'both'; ``header`` knows the shapes of headers."""
     n = len(lines)
     kind = [""] * n
     if n < 2:
         return kind
     loud = sum(map(_shout, lines)) > n / 2
+    pages = _bare_pages(lines)
     for i, line in enumerate(lines):
-        if _PAGE.match(line):
+        if i in pages:
             kind[i] = "page_no"
         elif _WITH_PAGE.match(line) and not _STOP.search(line):
             kind[i] = "both"
-        elif _STOP.search(line) is None and (_HEADER.search(line) or _shout(line) and not loud):
+        elif _STOP.search(line) is None and (header(line) or _shout(line) and not loud):
             kind[i] = "header"
     flow = [i for i in range(n) if not kind[i]]
-    inner = [len(lines[i].rstrip()) for i in flow[:-1] if not _BROKEN.search(lines[i])]
-    if not inner:
+    width = _width(lines, flow)
+    if not width:
         return kind
-    width = min(max(inner), sorted(inner)[len(inner) // 2] + 10)
-
-    def natural(a: str, b: str) -> bool:
-        """Would wrapping break after ``a`` before ``b``?"""
-        first = b.split()
-        return len(a.rstrip()) <= width + 3 and len(a.rstrip()) + 1 + len(first[0] if first else "") > width - 3
-
     for at, i in enumerate(flow[:-1]):
         line, after = lines[i], lines[flow[at + 1]]
-        odd = not natural(line, after) and not _BROKEN.search(line)
+        odd = not _natural(line, after, width) and not _BROKEN.search(line)
         if _like_title(line, title) and (i or odd):
             kind[i] = "header"
-        elif odd and not _STOP.search(line):
+        elif odd and not _STOP.search(line) and line.strip() and not _BARE.match(line):
             cut = line != line.rstrip() and len(line.rstrip()) < width - 3  # a header cut to a length
-            inserted = at and natural(lines[flow[at - 1]], after) and not kind[flow[at - 1]] and (line.strip()[:1].isupper() or line.strip()[:1].isdigit()) and not _STOP.search(lines[flow[at - 1]]) and after.strip()[:1].islower()
+            before = lines[flow[at - 1]]
+            inserted = at and _natural(before, after, width) and not kind[flow[at - 1]] and (line.strip()[:1].isupper() or line.strip()[:1].isdigit()) and not _STOP.search(before) and after.strip()[:1].islower()
             if cut or inserted:
                 kind[i] = "header"
     if len(flow) > 1 and _like_title(lines[flow[-1]], title) and not _STOP.search(lines[flow[-1]]):
@@ -127,15 +196,23 @@ def lost_breaks(text: str) -> list[tuple[int, int, str, str, str]]:
 
 def vocabulary(texts: DataFrame, text: str) -> DataFrame:
     """``(word, n, capital)``: lower-cased words and hyphenated compounds of all rows, their
-    count, and how often they begin with a capital (but aren't all capitals)."""
+    count, and how often they begin with a capital (but aren't all capitals).
+
+    Shapes of lines are counted along: ``word`` is the shape after a line feed, ``capital`` then
+    the number of its lines that break the flow.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter[str] = Counter()  # of words as they are written
+        lines: Counter[tuple[str, bool]] = Counter()
 
         def flush() -> pa.RecordBatch:
             low, capital = [w.lower() for w in counts], [w[:1].isupper() and not (len(w) > 1 and w.isupper()) for w in counts]
-            out = pa.RecordBatch.from_arrays([pa.array(low, pa.string()), pa.array(list(counts.values()), pa.int64()), pa.array([n * c for n, c in zip(counts.values(), capital)], pa.int64())], ["word", "n", "capital"])
+            names, n = low + ["\n" + s for s, _ in lines], [*counts.values(), *lines.values()]
+            odd = [n * c for n, c in zip(counts.values(), capital)] + [n * c for (_, c), n in lines.items()]
+            out = pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(n, pa.int64()), pa.array(odd, pa.int64())], ["word", "n", "capital"])
             counts.clear()
+            lines.clear()
             return out
 
         for batch in batches:
@@ -143,7 +220,9 @@ def vocabulary(texts: DataFrame, text: str) -> DataFrame:
                 counts.update(_WORD.findall(t))
                 if "-" in t:
                     counts.update(_COMPOUND.findall(t))
-                if len(counts) >= FLUSH:
+                if "\n" in t:
+                    lines.update(line_shapes(t.split("\n")))
+                if len(counts) + len(lines) >= FLUSH:
                     yield flush()
         yield flush()
 
@@ -159,16 +238,52 @@ def _value(s: str) -> int:
     return sum(ord(c) ** 5 for c in s)
 
 
-def corrections(words: DataFrame, least: int = LEAST_COUNT, ratio: int = RATIO) -> DataFrame:
+def header_shapes(words: DataFrame) -> DataFrame:
+    """``(word)``: the shapes of headers, by the lower bound of the share of lines that break the flow."""
+    n, p = F.col("n"), F.col("capital") / F.col("n")
+    z = 1.96
+    low = (p + z * z / (2 * n) - z * F.sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n)
+    return words.where(F.col("word").startswith("\n")).where(low > ODD_SHARE).select("word")
+
+
+def learned_confusions(words: DataFrame, least: int = LEARN_COUNT, ratio: int = RATIO) -> list[tuple[str, str]]:
+    """``(wrong, right)`` confusions of one or two characters that the vocabulary shows, sorted.
+
+    A confusion's share tells it from inflection and chance: a scanner mistakes the same characters
+    in any word, while few words have a rare neighbour by any other replacement. Letters that only
+    changed places are a typist's.
+    """
+    latin = _latin(words).where(f"length(word) >= {SHORTEST}").select("word", "n")
+    often = latin.where((F.col("n") >= least) & F.col("word").rlike("^[^0-9@|!$]+$"))
+    at = F.expr("explode(filter(flatten(transform(sequence(1, 2), k -> transform(sequence(1, length(word)), i -> struct(i, k)))), x -> x.i + x.k - 1 <= length(word)))")
+    key = F.concat(F.expr("substring(word, 1, x.i - 1)"), F.lit("*"), F.expr("substring(word, x.i + x.k, 40)"))
+    cut = lambda df: df.select("word", "n", at.alias("x")).select("word", "n", key.alias("key"), F.expr("substring(word, x.i, x.k)").alias("part"))
+    right = cut(often).toDF("right", "many", "key", "good")
+    pairs = cut(latin.where(F.col("n") * ratio <= (often.agg(F.max("n")).first()[0] or 0)))
+    pairs = pairs.join(F.broadcast(right) if often.count() <= BROADCAST_WORDS else right, "key").where((F.col("many") >= F.col("n") * ratio) & (F.col("part") != F.col("good")))
+    longer = (F.length("part") > 1) | (F.length("good") > 1)
+    same_end = (F.left("part", F.lit(1)) == F.left("good", F.lit(1))) | (F.right("part", F.lit(1)) == F.right("good", F.lit(1)))
+    pairs = pairs.where(~(longer & same_end) & (F.reverse("part") != F.col("good")))
+    seen = pairs.groupBy("part", "good").agg(F.count_distinct("right").alias("seen")).where(F.col("seen") >= LEARN_WORDS)
+    held = right.groupBy("good").agg(F.count_distinct("right").alias("held"))
+    found = seen.join(held, "good").where(F.col("seen") >= LEARN_SHARE * F.col("held"))
+    return sorted((r.part, r.good) for r in found.collect())  # of one or two characters: an alphabet bounds them
+
+
+def _latin(words: DataFrame) -> DataFrame:
+    return words.where(rf"length(word) BETWEEN {SHORTEST - 1} AND 40 AND word RLIKE '^[0-9@|!$a-zß-öø-ɏ]+$'")
+
+
+def corrections(words: DataFrame, least: int = LEAST_COUNT, ratio: int = RATIO, confusions: tuple[tuple[str, str], ...] = CONFUSIONS) -> DataFrame:
     """``(wrong, right, changes)``: each rare word's best correction.
 
     Ranked by fewest confusions, then by the frequency of the word it becomes, then by that word.
     """
-    latin = words.where(rf"length(word) BETWEEN {SHORTEST - 1} AND 40 AND word RLIKE '^[0-9@a-zß-öø-ɏ]+$'").withColumn("value", anagram_value(F.col("word")))
-    frequent = latin.where((F.col("n") >= least) & F.col("word").rlike("^[^0-9@]+$")).select(F.col("word").alias("right"), F.col("n").alias("many"), (F.col("capital") / F.col("n")).alias("right_capital"), "value")
+    latin = _latin(words).withColumn("value", anagram_value(F.col("word")))
+    frequent = latin.where((F.col("n") >= least) & F.col("word").rlike("^[^0-9@|!$]+$")).select(F.col("word").alias("right"), F.col("n").alias("many"), (F.col("capital") / F.col("n")).alias("right_capital"), "value")
     rare = latin.where(f"length(word) >= {SHORTEST}").select(F.col("word").alias("wrong"), "n", (F.col("capital") / F.col("n")).alias("capital"), "value")
-    single = [([w], [r], 1) for w, r in CONFUSIONS]
-    double = [([a[0], b[0]], [a[1], b[1]], 2) for a, b in itertools.combinations_with_replacement(CONFUSIONS, 2)]
+    single = [([w], [r], 1) for w, r in confusions]
+    double = [([a[0], b[0]], [a[1], b[1]], 2) for a, b in itertools.combinations_with_replacement(confusions, 2)]
     table = [(w, r, k, sum(map(_value, r)) - sum(map(_value, w))) for w, r, k in single + double]
     # The table of differences is of fixed size and a literal: each word is shifted where it can be.
     steps = F.from_json(F.lit(json.dumps([{"w": w, "r": r, "changes": k, "step": d} for w, r, k, d in table])), "array<struct<w:array<string>,r:array<string>,changes:int,step:bigint>>")
@@ -199,16 +314,38 @@ def _bit(word: str) -> int:
     return zlib.crc32(word.encode("utf-8", "replace")) % FILTER_BITS
 
 
-def _filter(fixes: DataFrame) -> bytes:
-    """A bit for each word that has a correction."""
+def _filter(words: DataFrame) -> bytes:
+    """A bit for each word of the only column."""
+    return bit_filter(words, lambda column: np.fromiter(map(_bit, column.to_pylist()), np.uint64, len(column)), FILTER_BITS)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([_bit(w) for w in batch.column(0).to_pylist()], pa.int32())], ["bit"])
 
-    bits = np.zeros(FILTER_BITS, bool)
-    bits[fixes.select("wrong").mapInArrow(run, "bit int").distinct().toArrow().column(0).to_numpy()] = True
-    return np.packbits(bits).tobytes()
+class _Known:
+    """Is a word in a filter? Answers are remembered."""
+
+    def __init__(self, bits: bytes):
+        self.bits, self.seen = bits, {}
+
+    def __call__(self, word: str) -> bool:
+        if word not in self.seen:
+            if len(self.seen) >= FLUSH:
+                self.seen.clear()
+            k = _bit(word)
+            self.seen[word] = bool(self.bits[k >> 3] >> (7 - (k & 7)) & 1)
+        return self.seen[word]
+
+    def header(self, line: str) -> bool:
+        return any(self("\n" + s) for s in shapes(line))
+
+
+def _whole_words(text: str) -> list[str]:
+    """The words of a text, lower-cased, without those at its ends that may be cut.
+
+    A text that begins with a small letter may begin within a word, one that ends with a letter or
+    digit may end within one.
+    """
+    found = _WORD.findall(text.lower())
+    begin, end = text[:1].islower(), text[-1:].isalnum()
+    return found[int(begin) : len(found) - int(end)]
 
 
 def scan_noise(texts: DataFrame, titles: DataFrame | None = None, id_col: str = "chunkId", owner: str = "docId", text: str = "chunkText") -> tuple[DataFrame, DataFrame]:
@@ -225,43 +362,37 @@ def scan_noise(texts: DataFrame, titles: DataFrame | None = None, id_col: str =
     if titles is None:
         src = src.withColumn("title", F.lit(None).cast("string"))
     else:
-        src = src.join(titles.toDF("owner", "title"), "owner", "left")
+        # a document may hold very many of the rows; its title is compared with lines
+        src = spread_join(src, titles.toDF("owner", "title").withColumn("title", F.substring("title", 1, 400)), ["owner"], "id", "left")
     rows = work_table(src.select("id", "title", "text"), "texts")
     # copies of a text count once: a misread word in one doesn't become frequent
     words = work_table(vocabulary(rows.select("text").distinct(), "text"), "words")
-    fixes = work_table(corrections(words), "corrections")
-    shared = spark.sparkContext.broadcast(_filter(fixes))  # FILTER_BITS / 8 bytes
+    confusions = tuple(dict.fromkeys([*CONFUSIONS, *learned_confusions(words)]))
+    fixes = work_table(corrections(words, confusions=confusions), "corrections")
+    # two filters of FILTER_BITS / 8 bytes
+    shared = spark.sparkContext.broadcast((_filter(fixes.select("wrong")), _filter(header_shapes(words))))
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.frombuffer(shared.value, np.uint8)
-        maybe: dict[str, bool] = {}
+        maybe, shape = map(_Known, shared.value)
         for batch in batches:
             out = []
             for i, title, t in zip(*(c.to_pylist() for c in batch.columns)):
                 lines = t.split("\n")
-                kind = edge_lines(lines, title)
+                kind = edge_lines(lines, title, shape.header)
                 found = {k for k in kind if k}
                 hints = [(k, "", "", "") for k in ("header", "page_no") if k in found or "both" in found]
                 splits = divided(lines, kind) if len(lines) > 1 else []
                 hints += [("hyphen", a, m, b) for _, _, a, m, b in splits]
                 # a break that is lost shows up in any layout
                 hints += [("lost", a, m, b) for line in lines for _, _, a, m, b in lost_breaks(line)]
-                parts = _WORD.findall(t.lower())
-                # the ends of a text may be cut words
-                for w in set(parts[1:-1]):
-                    if w not in maybe:
-                        if len(maybe) >= FLUSH:
-                            maybe.clear()
-                        k = _bit(w)
-                        maybe[w] = bool(bits[k >> 3] >> (7 - (k & 7)) & 1)
-                    if maybe[w]:
-                        hints.append(("chars", w, "", ""))
+                hints += [("chars", w, "", "") for w in set(_whole_words(t)) if maybe(w)]
                 out += [(i, *h) for h in hints]
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.string()) for k in range(5)], ["id", "kind", "a", "mark", "b"])
 
     hints = work_table(rows.mapInArrow(look, "id string, kind string, a string, mark string, b string"), "hints")
     lines = hints.where("kind IN ('header', 'page_no')").select("id", "kind")
-    chars = hints.where("kind = 'chars'").join(fixes, hints["a"] == fixes["wrong"]).select("id", "wrong", "right")
+    # a misread word may stand in very many copies
+    chars = spread_join(hints.where("kind = 'chars'").select("id", F.col("a").alias("wrong")), fixes, ["wrong"], "id").select("id", "wrong", "right")
     cut = hints.where("kind IN ('hyphen', 'lost')").select("id", "kind", "mark", F.lower("a").alias("a"), F.lower("b").alias("b"))
     known = words.select("word", "n")
     cut = cut.join(known.toDF("whole", "n_whole"), F.concat("a", "b") == F.col("whole"), "left").join(known.toDF("dashed", "n_dashed"), F.concat_ws("-", "a", "b") == F.col("dashed"), "left")
@@ -280,18 +411,19 @@ def scan_noise(texts: DataFrame, titles: DataFrame | None = None, id_col: str =
     )
 
     def mend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shape = _Known(shared.value[1])
         for batch in batches:
-            texts_ = [repair(t, title, {f["k"]: f["v"] for f in fx}) for title, t, fx in zip(*(c.to_pylist() for c in batch.columns[1:]))]
+            texts_ = [repair(t, title, {f["k"]: f["v"] for f in fx}, shape.header) for title, t, fx in zip(*(c.to_pylist() for c in batch.columns[1:]))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts_, pa.string())], ["id", "text"])
 
     repaired = rows.join(per_text, "id").select("id", "title", "text", "fixes").mapInArrow(mend, "id string, text string")
     return found, repaired
 
 
-def repair(text: str, title: str | None, fixes: dict[str, str]) -> str:
+def repair(text: str, title: str | None, fixes: dict[str, str], header: Callable[[str], bool] = lambda line: False) -> str:
     """A text as one continuous paragraph, by the fixes found for it."""
     lines = text.split("\n")
-    kind = edge_lines(lines, title)
+    kind = edge_lines(lines, title, header)
     joins = {i for i, _, a, _, b in divided(lines, kind) if f"{a}\n{b}".lower() in fixes}
     parts: list[str] = []
     glue = False

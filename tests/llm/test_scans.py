@@ -1,8 +1,10 @@
 from __future__ import annotations
 
+import random
+
 from pyspark.sql import functions as F
 
-from cairn.llm.scans import CONFUSIONS, _value, anagram_value, corrections, edge_lines, repair, scan_noise
+from cairn.llm.scans import CONFUSIONS, _value, anagram_value, corrections, edge_lines, learned_confusions, repair, scan_noise, shapes, vocabulary
 from tests.conftest import rows
 
 #: A paragraph in which the words are frequent, wrapped as a page would be.
@@ -50,8 +52,11 @@ def test_edge_lines():
     assert kinds() == []
     for line in ("12", "    12", "Page 3 / 9", "- 4 -", "— 175 —", "[7]", "xii", "Seite 5", "P. 8"):
         assert kinds((2, line)) == ["page_no"], line
-    for line in ("MORSIL WORKING NOTES", "Proc. Lodi 1998", "Lodi Quarterly · Vol. 3", "Rasu et al. — A title about the library"):
-        assert kinds((2, line)) == ["header"], line
+    assert kinds((2, "MORSIL WORKING NOTES")) == ["header"]
+    # words that look like numerals, and a year, are text
+    for line in ("civil", "civic", "ill", "mix", "2019", "v"):
+        assert kinds((2, line)) == [], line
+    assert kinds((0, "2019")) == ["page_no"] and kinds((2, "1041"), (4, "- 1042 -")) == ["page_no", "page_no"]
     assert kinds((2, "NOTES OF LODI | 45")) == kinds((0, "45  Lodi Quarterly · Vol. 3")) == ["both"]
     assert kinds((2, "A Short Title of Its Own"), title="A Short Title of Its Own") == ["header"]
     assert kinds((5, "A Short Title of Its Own"), title="A Short Title of Its Own") == ["header"]
@@ -59,10 +64,46 @@ def test_edge_lines():
     assert edge_lines(["page 55 of the", "register, see 12"], None) == ["", ""] and edge_lines(["ALL IN CAPITALS HERE", "AND SO ARE THESE LINES"], None) == ["", ""]
 
 
+def test_shapes():
+    assert shapes("Proc. Lodi 1998") == ["proc. X #$"] and shapes("Rasu et al. — A title") == ["X et al.", "X et al. —"]
+    assert shapes("Anna Berta Carla went") == ["X X X went"] and shapes("word") == shapes("") == []
+
+
+def test_headers_by_their_shape(spark):
+    """Headers of many documents, in any words, have a shape that breaks the flow of the lines."""
+    head = [(f"h{k}", page((1 + k % 4, f"Ann. {name} {k}"))) for k, name in enumerate(["Lodi", "Rasu", "Morsil", "Tavo", "Kelim", "Pona", "Sirut", "Bevo"] * 2)]
+    # an ordinary beginning is none, however often it stands at a line's start
+    plain = [(f"p{k}", page(lines=[LINES[0], f"curator {k} describes after the survey. The register and", *LINES[2:]])) for k in range(16)]
+    found, repaired = noise(spark, [*head, *plain])
+    assert found == {(i, "header") for i, _ in head} and set(repaired.values()) == {PLAIN}
+
+
+def test_confusions_that_no_table_has(spark):
+    """q for g and x for v, and one of two characters, are learned from the texts."""
+    r = random.Random(8)
+    stems = ["".join(r.choice("bdfglmnprstv") + r.choice("aeiou") for _ in range(r.randrange(3, 6))) for _ in range(400)]
+    often, rare = stems[:200], stems[200:]
+    texts = [(f"t{k}", " ".join(r.choice(often) for _ in range(150)) + f" {r.choice(rare)} end.") for k in range(300)]
+    for k in range(300):
+        words = texts[k][1].split(" ")
+        for at in r.sample(range(140), 5):
+            words[at] = words[at].replace("g", "q", 1) if k % 2 else words[at].replace("v", "x", 1)
+        texts[k] = (f"t{k}", " ".join(words))
+    df = table(spark, texts)
+    assert {("q", "g"), ("x", "v")} <= set(learned_confusions(vocabulary(df, "chunkText"), least=40))
+    assert learned_confusions(vocabulary(df.limit(0), "chunkText")) == []
+
+
+def test_first_and_last_words(spark):
+    clean = [(f"c{k}", f"{PLAIN} Folio {k}.") for k in range(40)]
+    found, repaired = noise(spark, [*clean, ("first", PLAIN.replace("The", "Tne", 1)), ("a", "Rnanuscript of the library. " + PLAIN), ("z", PLAIN + " It was the rnanuscript."), ("cut", "rnanuscript of the library. " + PLAIN)])
+    assert {i for i, k in found if k == "chars"} == {"a", "z"} and repaired["z"].endswith("It was the manuscript.")
+
+
 def test_kinds_and_repair(spark):
     cut = ["The library keeps a register of every manu-", "  script that the", *LINES[1:]]
     texts = [
-        ("head", page((2, "MORSIL WORKING NOTES"))), ("page", page((3, "- 12 -"))), ("both", page((1, "Lodi Quarterly · Vol. 3 | 12"))), ("hyphen", page(lines=cut)),
+        ("head", page((2, "MORSIL WORKING NOTES"))), ("page", page((3, "- 12 -"))), ("both", page((1, "LODI QUARTERLY NOTES | 12"))), ("hyphen", page(lines=cut)),
         ("across", page((1, "Page 7"), lines=cut)), ("lost", PLAIN.replace("register of", "regi\xad ster of")), ("plainlost", PLAIN.replace("describes", "desc- ribes", 1)), ("chars", PLAIN.replace("curator", "cur@tor", 1).replace("manuscript", "rnanuscript", 1)),
         ("wrapped", page()), ("null", None), ("empty", ""), ("list", PLAIN + " The pre- and post-war registers."), ("name", PLAIN + " It was Wicle and Fp16 who came."),
     ]
