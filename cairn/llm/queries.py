@@ -22,12 +22,12 @@ def _chunks(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = similar_pairs(_chunks(spark, sf_dir, "docId", "chunkText"), size=3, threshold=0.6)
+    pairs = similar_pairs(_chunks(spark, sf_dir, "docId", "chunkText"), size=3, threshold=0.6, rows=4)
     return pairs.selectExpr("id_a AS chunk_a", "id_b AS chunk_b")
 
 
 def p2_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return groups(_chunks(spark, sf_dir, "docId", "chunkText"), size=3, threshold=0.6)
+    return groups(_chunks(spark, sf_dir, "docId", "chunkText"), size=3, threshold=0.6, rows=4)
 
 
 def _scans(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -112,7 +112,13 @@ def p10_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return restore(read(spark, sf_dir, "documents"), source="source")
 
 
-QUERIES = {"p2_found": p2_found, "p2_groups": p2_groups, "p4_found": p4_found, "p4_repaired": p4_repaired, "p5_found": p5_found, "p5_pieces": p5_pieces, "p6_found": p6_found, "p6_documents": p6_documents, "p6_segments": p6_segments, "p7_found": p7_found, "p7_neighbours": p7_neighbours, "p8_ids": p8_ids, "p8_round_trip": p8_round_trip, "p9_found": p9_found, "p9_near": p9_near, "p10_found": p10_found, "p10_restored": p10_restored}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        p2_found, p2_groups, p4_found, p4_repaired, p5_found, p5_pieces, p6_found, p6_documents, p6_segments,
+        p7_found, p7_neighbours, p8_ids, p8_round_trip, p9_found, p9_near, p10_found, p10_restored,
+    )
+}
 
 _CURRENT = "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY chunkId ORDER BY extracted_ts DESC NULLS LAST) AS rn FROM delta_pdf_chunks WHERE chunkId IS NOT NULL) WHERE rn = 1"
 _WORDS = r"regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}]+')"
@@ -124,6 +130,14 @@ SQL = {
         n AS (SELECT chunkId, count(*) AS n FROM s GROUP BY chunkId),
         c AS (SELECT a.chunkId AS chunk_a, b.chunkId AS chunk_b, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.chunkId < b.chunkId AND a.docId <> b.docId GROUP BY ALL)
         SELECT chunk_a, chunk_b FROM c JOIN n x ON x.chunkId = chunk_a JOIN n y ON y.chunkId = chunk_b WHERE k >= 0.6 * (x.n + y.n - k)""",
+    "p2_groups": f"""
+        WITH RECURSIVE w AS (SELECT chunkId, {_WORDS.format('chunkText')} AS w FROM ({_CURRENT})),
+        s AS (SELECT DISTINCT chunkId, array_to_string(w[i:i + 2], ' ') AS g FROM (SELECT *, unnest(range(1, len(w) - 1)) AS i FROM w)),
+        n AS (SELECT chunkId, count(*) AS n, md5(string_agg(g, '|' ORDER BY g)) AS cls FROM s GROUP BY chunkId),
+        c AS (SELECT a.chunkId AS x, b.chunkId AS y, count(*) AS k FROM s a JOIN s b ON a.g = b.g GROUP BY ALL),
+        l AS (SELECT c.x, c.y FROM c JOIN n a ON a.chunkId = c.x JOIN n b ON b.chunkId = c.y WHERE k >= 0.6 * (a.n + b.n - k)),
+        r AS (SELECT x, y FROM l UNION SELECT r.x, l.y FROM r JOIN l ON l.x = r.y)
+        SELECT n.chunkId AS id, g."group", count(*) OVER (PARTITION BY cls) AS copies FROM n JOIN (SELECT x, min(y) AS "group" FROM r GROUP BY x) g ON g.x = n.chunkId""",
     "p5_found": r"SELECT DISTINCT item_id FROM pdf_chunk WHERE item_id IS NOT NULL AND length(trim(regexp_replace(text, '[ \t\n\x0B\f\r]+', ' ', 'g'), ' ')) > 1500",
     "p8_round_trip": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
     "p9_found": f"""
