@@ -3,8 +3,8 @@
 Vectors are spread over shards by their nearest coarse centroid. Each shard holds a directed
 graph: greedy searches propose neighbours for a vector, and a relaxed distance rule keeps those
 edges that lead somewhere the kept ones don't. A query walks the graphs of the shards whose
-centroids are nearest to it with a beam, and the best of all are merged. Equal vectors are one
-node, whose ids are put back at the end. All array work is done for many queries at once.
+centroids are nearest to it with a beam, and the best of all are merged. Vectors of one direction
+(to 12 decimals) are one node, whose ids are put back at the end. All array work is done for many queries at once.
 """
 
 from __future__ import annotations
@@ -17,18 +17,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from cairn.operators.sampling import hash_sample
+from cairn.operators.spread import spread_join
 from cairn.session import work_table
 
 #: Vectors of a shard, shards at most (which bounds what is broadcast), vectors of one graph.
 SHARD, MOST_SHARDS, PART = 4096, 8192, 16_384
-#: Rows the centroids are fitted on, at most, and rounds of fitting.
-FIT_ROWS, FIT_ROUNDS = 20_000, 6
+#: Rows the centroids are fitted on, about: so many for each, within these bounds; rounds of fitting.
+FIT_EACH, FIT_ROWS, FIT_MOST, FIT_ROUNDS = 24, 20_000, 200_000, 6
 #: Edges of a node, beam widths for building and for queries, and the rule's slack in two passes.
-DEGREE, BUILD_BEAM, BEAM, SLACK = 24, 40, 48, (1.0, 1.2)
+DEGREE, BUILD_BEAM, BEAM, SLACK = 16, 24, 24, (1.0, 1.2)
 #: Shards a query visits, nodes a step opens, queries that walk together.
-PROBES, STEP, TOGETHER = 8, 4, 256
-#: Queries of one shard that one task answers.
-BLOCK = 16_384
+PROBES, STEP, TOGETHER = 6, 8, 512
+#: Queries of one shard that one task answers, and vectors whose centroids are looked for at once.
+BLOCK, TOGETHER_HOME = 16_384, 512
 
 
 def units(x: np.ndarray) -> np.ndarray:
@@ -211,27 +213,32 @@ def nearest_vectors(vectors: DataFrame, k: int = 5, id_col: str = "chunkId", vec
     ``fit_rows`` vectors and are MOST_SHARDS at most; every vector is indexed and is a query. Extra columns are never read.
     """
     spark = vectors.sparkSession
-    rows = usable(vectors, id_col, vector, width).select("id", "vec", F.xxhash64("vec").alias("k1"), F.xxhash64(F.lit(1), "vec").alias("k2"))
+    rows = usable(vectors, id_col, vector, width)
+    norm = F.sqrt(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
+    rows = rows.select("id", "vec", norm.alias("norm")).select("id", "vec", F.transform("vec", lambda x: F.round(x.cast("double") / F.col("norm"), 12) + 0.0).alias("way"))
+    rows = rows.select("id", "vec", F.xxhash64("way").alias("k1"), F.xxhash64(F.lit(1), "way").alias("k2"))
     kind = rows.schema["id"].dataType.simpleString()
-    # Equal vectors are one node; nodes are numbered once, in a written table.
+    # Vectors of one direction are one node; nodes are numbered once, in a written table.
     first = rows.groupBy("k1", "k2").agg(F.min(F.struct("id", "vec")).alias("f"), F.count(F.lit(1)).alias("n"))
     classes = work_table(first.select(F.monotonically_increasing_id().alias("node"), "k1", "k2", F.col("f.id").alias("id"), "n", F.col("f.vec").alias("vec")), "classes")
     total = classes.count()
     if not total:
         return spark.createDataFrame([], f"id {kind}, neighbour {kind}, similarity double, place int")
-    sample = classes.orderBy(F.xxhash64("id")).limit(fit_rows).select("vec").toArrow()
-    centroids = fit_centroids(units(_matrix(sample.column(0), width)), max(1, min(MOST_SHARDS, -(-total // shard)))).astype(np.float32)
+    shards = max(1, min(MOST_SHARDS, -(-total // shard)))
+    sample = hash_sample(classes, "id", max(fit_rows, min(FIT_MOST, FIT_EACH * shards))).select("vec").toArrow()
+    centroids = fit_centroids(units(_matrix(sample.column(0), width)), shards).astype(np.float32)
     shared = spark.sparkContext.broadcast(centroids)
     visit = min(probes, len(centroids))
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            u = units(_matrix(batch.column(1), width))
-            top = np.argsort(-(u.astype(np.float32) @ shared.value.T), axis=1, kind="stable")[:, :visit].astype(np.int32)
+            raw = np.ascontiguousarray(_matrix(batch.column(1), width), np.float32)
+            u = units(raw).astype(np.float32)
+            top = np.concatenate([_homes(u[a : a + TOGETHER_HOME] @ shared.value.T, visit) for a in range(0, max(1, len(u)), TOGETHER_HOME)])
             offsets = np.arange(len(u) + 1, dtype=np.int32) * visit
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in u], pa.binary()), pa.array(top[:, 0].copy()), pa.ListArray.from_arrays(offsets, top.ravel())], ["node", "unit", "home", "visits"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in raw], pa.binary()), pa.array(top[:, 0].copy()), pa.ListArray.from_arrays(offsets, top.ravel())], ["node", "raw", "home", "visits"])
 
-    placed = work_table(classes.select("node", "vec").mapInArrow(assign, "node long, unit binary, home int, visits array<int>"), "placed")
+    placed = work_table(classes.select("node", "vec").mapInArrow(assign, "node long, raw binary, home int, visits array<int>"), "placed")
     # One number per shard; there are at most MOST_SHARDS.
     held = {r[0]: r[1] for r in placed.groupBy("home").count().collect()}
     asked = {r[0]: r[1] for r in placed.select(F.explode("visits").alias("s")).groupBy("s").count().collect()}
@@ -239,14 +246,14 @@ def nearest_vectors(vectors: DataFrame, k: int = 5, id_col: str = "chunkId", vec
     parts = spark.createDataFrame(plan, "shard int, parts int, blocks int")
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
-        u = _stack(pdf["unit"], width)
-        _, edges, pivots = build_graph(u)
-        return pd.DataFrame({"shard": [pdf["shard"].iloc[0]], "part": [pdf["part"].iloc[0]], "nodes": [pdf["node"].to_numpy().tobytes()], "units": [u.tobytes()], "edges": [edges.tobytes()], "pivots": [pivots.tobytes()]})
-
-    mine = placed.join(F.broadcast(parts), placed["home"] == parts["shard"]).select("shard", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("part"), "node", "unit")
-    graphs = work_table(mine.groupBy("shard", "part").applyInPandas(build, "shard int, part int, nodes binary, units binary, edges binary, pivots binary"), "graphs")
-    ask = placed.select("node", "unit", F.explode("visits").alias("shard")).join(F.broadcast(parts), "shard")
-    ask = ask.select("shard", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"), "node", "unit")
+        raw = b"".join(pdf["raw"])
+        _, edges, pivots = build_graph(_stack(raw, width))
+        return pd.DataFrame({"shard": [pdf["shard"].iloc[0]], "part": [pdf["part"].iloc[0]], "nodes": [pdf["node"].to_numpy().tobytes()], "raw": [raw], "edges": [edges.tobytes()], "pivots": [pivots.tobytes()]})
+
+    mine = placed.join(F.broadcast(parts), placed["home"] == parts["shard"]).select("shard", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("part"), "node", "raw")
+    graphs = work_table(mine.groupBy("shard", "part").applyInPandas(build, "shard int, part int, nodes binary, raw binary, edges binary, pivots binary"), "graphs")
+    ask = placed.select("node", "raw", F.explode("visits").alias("shard")).join(F.broadcast(parts), "shard")
+    ask = ask.select("shard", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"), "node", "raw")
     ready = graphs.join(F.broadcast(parts), "shard").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
 
     def answer(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
@@ -254,14 +261,14 @@ def nearest_vectors(vectors: DataFrame, k: int = 5, id_col: str = "chunkId", vec
             return pd.DataFrame({"node": np.zeros(0, np.int64), "other": np.zeros(0, np.int64), "similarity": np.zeros(0)})
         g = right.iloc[0]
         nodes = np.frombuffer(g["nodes"], np.int64)
-        u = np.frombuffer(g["units"], np.float64).reshape(-1, width)
+        u = _stack(g["raw"], width)
         edges = np.frombuffer(g["edges"], np.int32).reshape(len(u) + 1, -1)
         x = np.concatenate([u.astype(np.float32), np.zeros((1, width), np.float32)])
         asker = left["node"].to_numpy()
         by = np.argsort(nodes)
         at = np.minimum(np.searchsorted(nodes, asker, sorter=by), len(nodes) - 1)
         own = np.where(nodes[by[at]] == asker, by[at], -1)
-        q = _stack(left["unit"], width)
+        q = _stack(b"".join(left["raw"]), width)
         found, _ = query_graph(x, edges, np.frombuffer(g["pivots"], np.int32), q, own, k + 1, beam)
         row, slot = np.nonzero(found >= 0)
         to = found[row, slot]
@@ -271,14 +278,23 @@ def nearest_vectors(vectors: DataFrame, k: int = 5, id_col: str = "chunkId", vec
     return _put_back(work_table(near, "near"), rows, classes.drop("vec"), k)
 
 
-def _stack(column: pd.Series, width: int) -> np.ndarray:
-    return np.frombuffer(b"".join(column), np.float64).reshape(-1, width)
+def _stack(raw: bytes, width: int) -> np.ndarray:
+    """Unit vectors, exactly those that the values as they came give."""
+    return units(np.frombuffer(raw, np.float32).reshape(-1, width))
+
+
+def _homes(near: np.ndarray, visit: int) -> np.ndarray:
+    """The columns of the ``visit`` greatest values of each row, the greatest first."""
+    top = np.argpartition(-near, visit - 1, axis=1)[:, :visit]
+    order = np.argsort(-np.take_along_axis(near, top, axis=1), axis=1, kind="stable")
+    return np.take_along_axis(top, order, axis=1).astype(np.int32)
 
 
 def _put_back(near: DataFrame, rows: DataFrame, classes: DataFrame, k: int) -> DataFrame:
     """From nodes to ids: equal vectors are each other's nearest, and stand in for their node."""
     multi = classes.where("n > 1").select("k1", "k2", "node")
-    members = work_table(rows.select("k1", "k2", "id").join(multi, ["k1", "k2"]).select("node", "id"), "members")
+    # a third of all vectors may be equal: their rows are spread over tasks
+    members = work_table(spread_join(rows.select("k1", "k2", "id"), multi, ["k1", "k2"], "id").select("node", "id"), "members")
     w = Window.partitionBy("node").orderBy("id")
     # The window's limit is applied before the shuffle too, so a huge class ships few ids a task.
     groups = members.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k + 1).groupBy("node").agg(F.collect_list("id").alias("ids"))
@@ -293,6 +309,8 @@ def _put_back(near: DataFrame, rows: DataFrame, classes: DataFrame, k: int) -> D
         .agg(F.collect_set(F.struct((-F.col("similarity")).alias("d"), F.col("id"))).alias("all"))
         .select("node", F.slice(F.sort_array("all"), 1, k + 1).alias("best"))
     )
-    ids = classes.where("n = 1").select("node", "id").unionByName(members)
-    picked = ids.join(best, "node").select("id", F.slice(F.filter("best", lambda b: b.id != F.col("id")), 1, k).alias("best"))
+    best = work_table(best, "best")
+    alone = classes.where("n = 1").select("node", "id").join(best, "node").select("node", "id", "best")
+    equal = spread_join(members, best.join(multi.select("node"), "node"), ["node"], "id").select("node", "id", "best")
+    picked = alone.unionByName(equal).select("id", F.slice(F.filter("best", lambda b: b.id != F.col("id")), 1, k).alias("best"))
     return picked.select("id", F.posexplode("best").alias("p", "b")).select("id", F.col("b.id").alias("neighbour"), (-F.col("b.d")).alias("similarity"), (F.col("p") + 1).cast("int").alias("place"))

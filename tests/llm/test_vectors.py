@@ -52,6 +52,12 @@ def test_ties_go_to_the_smaller_id(spark):
     assert got == plain(data) and ("c19", "c04") in got and ("c00", "c05") in got
 
 
+def test_many_lengths_of_one_direction(spark):
+    base, other = [float(x) for x in clustered(1, 8)[0]], [float(x) for x in clustered(2, 8, 3)[1]]
+    data = [(f"s{i:03}", [x * 2.0 ** (i % 40 - 20) for x in base]) for i in range(300)] + [("a", other), ("b", [-x for x in other])]
+    assert found(nearest_vectors(table(spark, data), k=5, width=8)) == plain(data)
+
+
 @pytest.mark.parametrize("n", [0, 1, 2, 3])
 def test_few(spark, n):
     data = [(f"v{i}", [float(i + 1), 1.0] + [0.0] * 6) for i in range(n)]
