@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cairn.operators.sampling import hash_sample
-from cairn.session import work_table
+from cairn.session import drop_table, work_table
 
 #: n-grams of a profile; labelled documents of each label that profiles are fitted on, about.
 PROFILE, TRAIN_ROWS = 400, 300
@@ -323,7 +323,10 @@ def fit(documents: DataFrame, id_col: str = "docId", text: str = "text", label:
     counted = {r[0]: r[1] for r in sample.groupBy("code").count().collect()}
     left = {r[0]: r[1] for r in kept.groupBy("code").count().collect()}
     languages = [c for c, n in left.items() if n >= LEAST_KEPT * counted[c]]
-    return _profiles(kept.where(F.col("code").isin(languages)).withColumn("half", F.lit(0)), (0,))[0] if languages else Profiles([], [])
+    out = _profiles(kept.where(F.col("code").isin(languages)).withColumn("half", F.lit(0)), (0,))[0] if languages else Profiles([], [])
+    drop_table(sample)
+    drop_table(kept)
+    return out
 
 
 def passages(texts: DataFrame, profiles: Profiles, id_col: str, owner: str, text: str) -> DataFrame:

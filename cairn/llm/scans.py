@@ -42,7 +42,7 @@ LEAST_COUNT, RATIO = 5, 20
 #: those with the right characters, need a rare double with the wrong ones.
 LEARN_COUNT, LEARN_WORDS, LEARN_SHARE = 100, 5, 0.2
 #: Frequent words up to which they are sent to every task that learns.
-BROADCAST_WORDS = 20_000
+BROADCAST_WORDS = 5_000
 #: A line's shape is a header's if surely (2.5 %) more than this share of its lines break the flow.
 ODD_SHARE = 0.45
 #: Share of capitals above which a word may be a name, and below which its correction is none.
