@@ -48,8 +48,12 @@ def duplicate_keys(source: DataFrame, keys: list[str]) -> DataFrame:
     return source.where(known).groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
 
 
+def stale_chunks(stored: DataFrame, changed: DataFrame, fresh: DataFrame, key: str = "chunkId") -> DataFrame:
+    """Stored chunks that a changed document no longer has."""
+    ids = changed.select("docId").distinct()
+    return stored.join(ids, "docId", "left_semi").join(fresh.select(key), key, "left_anti").select(stored.columns)
+
+
 def prune_stale(stored: DataFrame, changed: DataFrame, fresh: DataFrame, key: str = "chunkId") -> DataFrame:
     """Stored chunks without those that a changed document no longer has."""
-    ids = changed.select("docId").distinct()
-    stale = stored.join(ids, "docId", "left_semi").join(fresh.select(key), key, "left_anti").select(key)
-    return stored.join(stale, key, "left_anti").select(stored.columns)
+    return stored.join(stale_chunks(stored, changed, fresh, key).select(key), key, "left_anti").select(stored.columns)

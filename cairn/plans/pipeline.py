@@ -13,13 +13,13 @@ from pyspark.sql import functions as F
 from cairn import schemas
 from cairn.functions.text import normalize
 from cairn.operators.chunking import chunk_at_sentences, chunk_documents
-from cairn.operators.delta import changed_documents, chunks_to_embed, prune_stale
+from cairn.operators.delta import changed_documents, chunks_to_embed, stale_chunks
 from cairn.operators.documents import project_documents
 from cairn.operators.embedding import HashEmbedder, embed_chunks
 from cairn.operators.metrics import ratio, run_counts
 from cairn.operators.snapshot import retrieval_index
 from cairn.sources.files import extract_texts, scan_files
-from cairn.sources.storage import TableStore
+from cairn.sources.storage import TableStore, register_table
 
 
 @dataclass(frozen=True)
@@ -30,6 +30,7 @@ class Options:
     ``embed_all``: chunks of unchanged documents get vectors too, as after a change of model.
     ``skip_failed``: a failed extraction doesn't replace a document's text.
     ``one_model``, ``match_hash``: what the published index holds.
+    ``database``: the index becomes a catalog table of it too. ``keep``: versions kept for readers.
     """
 
     window: int = 1500
@@ -42,6 +43,8 @@ class Options:
     match_hash: bool = False
     batch: int = 2
     parallelism: int | None = None
+    database: str | None = None
+    keep: int = 3
 
 
 def documents_of_folder(spark: SparkSession, folder: str, pattern: str = "*.pdf", partitions: int | None = None) -> DataFrame:
@@ -54,9 +57,10 @@ def documents_of_folder(spark: SparkSession, folder: str, pattern: str = "*.pdf"
 def run_once(store: TableStore, docs: DataFrame, model: str, version: str, embedder: Any = None, options: Options = Options(), reindex: bool = False, snapshots: str | None = None, run_id: str | None = None, now_ms: int | None = None) -> dict[str, Any]:
     """One run over ``docs`` (rows of the documents table, perhaps with ``length``); its metrics.
 
-    All tables of the run become visible together, or none; with ``reindex`` they replace all
-    that the store had. ``embedder`` None stands for the
-    deterministic one. A run without changes still publishes an index and a metrics row.
+    All tables of the run and its snapshot become visible together, or none; with ``reindex`` they
+    replace all that the store had, whose folders are deleted. Of the three tables only the buckets
+    with changed rows are written. ``embedder`` None stands for the deterministic one. A run without
+    changes still publishes an index and a metrics row.
     """
     started = time.time()
     tx = store.begin(fresh=reindex)
@@ -77,25 +81,20 @@ def run_once(store: TableStore, docs: DataFrame, model: str, version: str, embed
         scope = old_chunks.join(chunks.select("chunkId"), "chunkId", "left_anti").select(chunks.columns).unionByName(chunks)
     vectors = tx.overwrite("staging_embeddings", embed_chunks(chunks_to_embed(scope, old_vectors, model, version), embedder or HashEmbedder(), model, version, options.batch, options.parallelism))
     t_embed = time.time()
-    docs_table = tx.merge("delta_pdf_docs", changed, schemas.KEYS["docs"]) if stored is not None else tx.overwrite("delta_pdf_docs", eligible.drop("length"))
-    kept = prune_stale(old_chunks, changed, chunks) if options.prune and old_chunks is not None else old_chunks
-    if kept is not None and options.prune:
-        tx.overwrite("delta_pdf_chunks", kept.join(chunks.select("chunkId"), "chunkId", "left_anti").select(chunks.columns).unionByName(chunks))
-    else:
-        tx.merge("delta_pdf_chunks", chunks, schemas.KEYS["chunks"])
-    chunk_table = tx.now("delta_pdf_chunks")
-    if options.prune and old_vectors is not None:
-        live = old_vectors.join(chunk_table.select("chunkId"), "chunkId", "left_semi").select(vectors.columns)
-        keys = schemas.KEYS["embeddings"]
-        vector_table = tx.overwrite("delta_embeddings", live.join(vectors.select(*keys), keys, "left_anti").select(vectors.columns).unionByName(vectors))
-    else:
-        vector_table = tx.merge("delta_embeddings", vectors, schemas.KEYS["embeddings"])
+    fresh_docs = changed if stored is not None else eligible.drop("length")
+    docs_table = tx.merge("delta_pdf_docs", fresh_docs, schemas.KEYS["docs"])
+    if options.prune and old_chunks is not None:
+        stale = tx.overwrite("staging_stale", stale_chunks(old_chunks, changed, chunks).select("chunkId", "docId"))
+        tx.delete("delta_pdf_chunks", stale, schemas.KEYS["chunks"], by="docId")
+        if old_vectors is not None:
+            tx.delete("delta_embeddings", stale, ["chunkId"])
+    chunk_table = tx.merge("delta_pdf_chunks", chunks, schemas.KEYS["chunks"], by="docId")
+    vector_table = tx.merge("delta_embeddings", vectors, schemas.KEYS["embeddings"])
     now = int(started * 1000) if now_ms is None else now_ms
     t_upsert = time.time()
     index = retrieval_index(chunk_table, docs_table, vector_table, F.timestamp_millis(F.lit(now)), model if options.one_model else None, version if options.one_model else None, options.match_hash)
-    published = tx.overwrite(f"retrieval_index_{now}", index)
-    path = f"{(snapshots or store.root + '/snapshots').rstrip('/')}/{model}/{version}/{now}"
-    published.write.mode("overwrite").parquet(path)
+    path = f"{(snapshots or store.root + '/_snapshots').rstrip('/')}/{model}/{version}/{now}"
+    tx.publish_at(f"retrieval_index_{now}", index, path)
     t_publish = time.time()
     counts = run_counts(scanned, changed, chunks, vectors).first().asDict()
     total = t_publish - started
@@ -108,6 +107,9 @@ def run_once(store: TableStore, docs: DataFrame, model: str, version: str, embed
     }
     tx.append("run_metrics", store.spark.createDataFrame([tuple(row[f] for f in schemas.RUN_METRICS.fieldNames())], schemas.RUN_METRICS))
     tx.commit()
+    store.vacuum(1 if reindex else options.keep)
+    if options.database:
+        register_table(store.spark, options.database, f"retrieval_index_{now}", path)
     return row
 
 

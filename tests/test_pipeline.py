@@ -45,6 +45,20 @@ def test_runs(spark, tmp_path):
     assert fresh["docs_new_or_changed"] == 1 and store.read("delta_pdf_docs").count() == store.read("run_metrics").count() == 1
 
 
+def test_one_changed_document_is_one_bucket_of_each_table(spark, tmp_path):
+    store = TableStore(spark, f"file://{tmp_path}/s", buckets=8)
+    texts = {f"d{k}": f"text number {k}" for k in range(40)}
+    run_once(store, docs(spark, **texts), "m", "1", options=Options(batch=8), now_ms=1)
+    before = store.versions()
+    run_once(store, docs(spark, **(texts | {"d7": "another text"})), "m", "1", options=Options(batch=8, database="rag_p"), now_ms=2)
+    after = store.versions()
+    for name in ("delta_pdf_docs", "delta_pdf_chunks", "delta_embeddings"):
+        changed = [b for b, p in after[name]["paths"].items() if before[name]["paths"].get(b) != p]
+        assert len(changed) <= (2 if name == "delta_embeddings" else 1), name
+    assert store.read("delta_pdf_docs").count() == 40 and spark.table("rag_p.retrieval_index_2").count() == store.read("retrieval_index_2").count()
+    spark.sql("DROP DATABASE rag_p CASCADE")
+
+
 def test_empty_corpus(spark, tmp_path):
     store = TableStore(spark, f"file://{tmp_path}/s")
     row = run_once(store, docs(spark, a="x").limit(0), "m", "1", now_ms=1)

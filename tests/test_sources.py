@@ -57,13 +57,77 @@ def test_store_publishes_together(spark, tmp_path):
     assert rows(store.read("x")) == [(1, "a")]
     tx.commit()
     assert rows(store.read("x")) == [(1, "b"), (2, "c")] and store.read("log").count() == 2
-    late.overwrite("y", df)
+    late.overwrite("x", df)
     with pytest.raises(Conflict):
         late.commit()
     with pytest.raises(ValueError):
         store.begin().merge("x", spark.createDataFrame([(1, "b"), (1, "c")], "k int, v string"), ["k"])
 
 
+def test_writers_that_do_not_meet_both_publish(spark, tmp_path):
+    store = TableStore(spark, f"file://{tmp_path}/s")
+    df = spark.createDataFrame([(1, "a")], "k int, v string")
+    one, two = store.begin(), store.begin()
+    one.overwrite("x", df)
+    one.append("log", df)
+    two.overwrite("y", df)
+    two.append("log", df)
+    one.commit()
+    two.commit()
+    assert store.tables() == ["log", "x", "y"] and store.read("log").count() == 2
+
+
+def _folders(path):
+    return sorted(str(p.parent.relative_to(path)) for p in path.rglob("*.parquet"))
+
+
+def test_a_merge_writes_only_the_buckets_it_changes(spark, tmp_path):
+    store = TableStore(spark, f"file://{tmp_path}/s", buckets=16)
+    kind = "k string, g string, v int"
+    plain = {f"k{i}": ("g%d" % (i % 9), i) for i in range(200)}
+    tx = store.begin()
+    tx.merge("t", spark.createDataFrame([(k, *v) for k, v in plain.items()], kind), ["k"], by="g")
+    tx.commit()
+    before = store.versions()["t"]["paths"]
+    for rows_ in ([("k3", "g3", -1)], [("new", "other", 7)], [(None, None, 1)], []):
+        tx = store.begin()
+        tx.merge("t", spark.createDataFrame(rows_, kind), ["k"], by="g")
+        tx.commit()
+        plain |= {k: v for k, *v in rows_}
+        after = store.versions()["t"]["paths"]
+        assert sum(before.get(b) != p for b, p in after.items()) == len(rows_)
+        before = after
+        assert rows(store.read("t")) == sorted(((k, *v) for k, v in plain.items()), key=repr)
+    tx = store.begin()
+    tx.delete("t", spark.createDataFrame([("k3", "g3", 0), ("none", "g3", 0)], kind), ["k"], by="g")
+    tx.commit()
+    assert store.read("t").count() == len(plain) - 1
+
+
+def test_vacuum(spark, tmp_path):
+    store = TableStore(spark, f"file://{tmp_path}/s", buckets=4)
+    for i in range(4):
+        tx = store.begin()
+        tx.merge("t", spark.createDataFrame([(j, i) for j in range(8)], "k int, v int"), ["k"])
+        tx.append("log", spark.range(1))
+        tx.commit()
+    under_way = store.begin()
+    kept = under_way.overwrite("t", spark.range(3))
+    assert store.vacuum(keep=1) and store.vacuum(keep=1) == []
+    assert rows(store.read("t")) == [(j, 3) for j in range(8)] and store.read("log").count() == 4 and kept.count() == 3
+    assert len({f.split("/")[1] for f in _folders(tmp_path / "s") if f.startswith("t/")}) == 2
+
+
+def test_a_snapshot_appears_with_the_commit(spark, tmp_path):
+    store = TableStore(spark, f"file://{tmp_path}/s")
+    tx = store.begin()
+    tx.publish_at("index", spark.range(3), f"file://{tmp_path}/snapshots/m/1")
+    assert not (tmp_path / "snapshots/m/1").exists()
+    tx.renames, kept = [], list(tx.renames)  # as if the writer died between publishing and renaming
+    store._publish(tx.number, tx.new | {"#renames": kept})
+    assert not (tmp_path / "snapshots/m/1").exists() and store.read("index").count() == 3 and (tmp_path / "snapshots/m/1").exists()
+
+
 def test_catalog(spark):
     recreate_database(spark, "rag_t")
     save_table(spark.range(3), "rag_t", "x")
