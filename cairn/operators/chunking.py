@@ -17,27 +17,28 @@ _WHITE = re.compile(r"[ \t\n\x0b\f\r]+")
 _ENDS = "".join(map(chr, range(33)))
 
 
-def _finish(rows: DataFrame) -> DataFrame:
+def _finish(rows: DataFrame, extra: list[str] | None = None) -> DataFrame:
     return rows.select(
         "docId", "chunkIndex", "chunkStartIndex", "chunkEndIndex", "chunkText", "sectionPath",
         F.sha2("chunkText", 256).alias("chunkContentHash"),
-        chunk_id(F.col("docId"), F.col("chunkIndex"), F.col("chunkStartIndex"), F.col("chunkEndIndex")).alias("chunkId"),
+        chunk_id(F.col("docId"), F.col("chunkIndex"), F.col("chunkStartIndex"), F.col("chunkEndIndex")).alias("chunkId"), *(extra or []),
     )
 
 
-def chunk_documents(docs: DataFrame, window: int = WINDOW, overlap: int = OVERLAP) -> DataFrame:
+def chunk_documents(docs: DataFrame, window: int = WINDOW, overlap: int = OVERLAP, total: bool = False) -> DataFrame:
     """Rows of the chunks table by a window that slides over the collapsed text.
 
     Windows begin every ``window - overlap`` code points (at least one), so the last may lie
     within the one before. Null, empty and blank texts give none. Native expressions only: a
-    document's windows are generated beside it, without a shuffle.
+    document's windows are generated beside it, without a shuffle. With ``total`` each row has the
+    number of its document's chunks too.
     """
     stride = max(1, window - overlap)
     n = F.length("clean")
     starts = F.when(n > 0, F.sequence(F.lit(0), n - 1, F.lit(stride)))
     rows = docs.select("docId", F.col("pdfUri").alias("sectionPath"), collapse_whitespace(F.col("text")).alias("clean"))
-    rows = rows.select("docId", "sectionPath", "clean", F.posexplode(starts).alias("chunkIndex", "chunkStartIndex"))
-    return _finish(rows.withColumns({"chunkEndIndex": F.least(F.col("chunkStartIndex") + window, n), "chunkText": F.substring("clean", F.col("chunkStartIndex") + 1, F.lit(window))}))
+    rows = rows.select("docId", "sectionPath", "clean", F.size(starts).alias("total"), F.posexplode(starts).alias("chunkIndex", "chunkStartIndex"))
+    return _finish(rows.withColumns({"chunkEndIndex": F.least(F.col("chunkStartIndex") + window, n), "chunkText": F.substring("clean", F.col("chunkStartIndex") + 1, F.lit(window))}), ["total"] * total)
 
 
 def cut_at_sentences(text: str | None, window: int = WINDOW, overlap: int = OVERLAP, least: float = LEAST_CUT) -> list[tuple[int, int, str]]:
@@ -75,11 +76,13 @@ def chunk_at_sentences(docs: DataFrame, window: int = WINDOW, overlap: int = OVE
 
 def chunk_metadata(chunks: DataFrame) -> DataFrame:
     """``(docId, id, text, metadata)`` with 1-based ids and the position among the chunks of the
-    document, as a map of strings. One aggregation by document counts; no window."""
-    total = chunks.groupBy("docId").agg(F.count(F.lit(1)).alias("total"))
+    document, as a map of strings. Rows of :func:`chunk_documents` with ``total`` need no shuffle;
+    others are counted by document first."""
+    if "total" not in chunks.columns:
+        chunks = chunks.join(chunks.groupBy("docId").agg(F.count(F.lit(1)).alias("total")), "docId")
     at = (F.col("chunkIndex") + 1).cast("string")
     meta = F.create_map(F.lit("chunk_id"), F.concat(F.lit("chunk_"), at), F.lit("position"), at, F.lit("total_chunks"), F.col("total").cast("string"))
-    return chunks.join(total, "docId").select("docId", F.concat(F.lit("chunk_"), at).alias("id"), F.col("chunkText").alias("text"), meta.alias("metadata"))
+    return chunks.select("docId", F.concat(F.lit("chunk_"), at).alias("id"), F.col("chunkText").alias("text"), meta.alias("metadata"))
 
 
 def chunk_statistics(chunks: DataFrame) -> DataFrame:

@@ -7,7 +7,9 @@ two thirds of the documents, every fifth of all with an older text.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,11 +21,16 @@ from cairn.operators.embedding import HashEmbedder, embed_chunks, hash_embedding
 from cairn.operators.metrics import run_counts, size_of
 from cairn.operators.snapshot import retrieval_index
 from cairn.plans.pipeline import Options, run_once
-from cairn.session import read, shared_dir
+from cairn.session import read, shared_dir, work_table
 from cairn.sources.files import extract_texts, scan_files, write_pdf
 from cairn.sources.storage import TableStore
 
 MODEL, OTHER, VERSION = "m1", "m2", "v1"
+#: When snapshots are made.
+AT = 1_700_000_000_000
+#: Roles and sizes that the tables don't hold, put to their rows in turn.
+ROLES = ("user", "system", "assistant", "tool", "USER", " user", "", None)
+SIZES = ("", "-small", "-medium", "-large", "-small-medium", "-SMALL")
 
 
 def _raw(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,7 +94,7 @@ def chunk_statistics_query(spark, sf_dir):
 
 def chunk_metadata_query(spark, sf_dir):
     m = F.col("metadata")
-    return chunk_metadata(chunk_fixed(spark, sf_dir)).select("docId", "id", m["chunk_id"].alias("chunk_id"), m["position"].alias("position"), m["total_chunks"].alias("total_chunks"), F.length("text").alias("n"))
+    return chunk_metadata(chunk_documents(_new(spark, sf_dir), total=True)).select("docId", "id", m["chunk_id"].alias("chunk_id"), m["position"].alias("position"), m["total_chunks"].alias("total_chunks"), F.length("text").alias("n"))
 
 
 def doc_delta_anti(spark, sf_dir):
@@ -95,7 +102,7 @@ def doc_delta_anti(spark, sf_dir):
 
 
 def existing_distinct(spark, sf_dir):
-    return stored_hashes(_stored(spark, sf_dir))
+    return stored_hashes(read(spark, sf_dir, "delta_pdf_docs"))
 
 
 def embedding_delta_anti(spark, sf_dir):
@@ -136,7 +143,8 @@ def merge_embeddings(spark, sf_dir):
 def snapshot_join(spark, sf_dir):
     docs = _new(spark, sf_dir)
     chunks = chunk_documents(docs)
-    return retrieval_index(chunks, docs, hash_embeddings(chunks, MODEL, VERSION)).drop("version_ts", "embedding", "language")
+    index = retrieval_index(chunks, docs, hash_embeddings(chunks, MODEL, VERSION), at=F.timestamp_millis(F.lit(AT)))
+    return index.withColumn("version_ts", F.unix_millis("version_ts"))
 
 
 def snapshot_two_models(spark, sf_dir):
@@ -178,37 +186,52 @@ def prune_stale_query(spark, sf_dir):
 
 
 def chat_role_mapping(spark, sf_dir):
-    return read(spark, sf_dir, "documents").select("doc_id", chat_role(F.col("doc_type")).alias("role"))
+    role = F.element_at(F.array(*map(F.lit, ROLES)), (F.col("doc_id") % len(ROLES) + 1).cast("int"))
+    return read(spark, sf_dir, "documents").select("doc_id", chat_role(role).alias("role"))
 
 
 def model_dim(spark, sf_dir):
-    return read(spark, sf_dir, "delta_embeddings").select("chunkId", "modelName", model_dimension(F.col("modelName")).alias("dim"))
+    named = read(spark, sf_dir, "delta_embeddings").select("chunkId", F.explode(F.transform(F.array(*map(F.lit, SIZES)), lambda x: F.concat("modelName", x))).alias("modelName"))
+    return named.select("chunkId", "modelName", model_dimension(F.col("modelName")).alias("dim"))
+
+
+def _pages(text: str) -> list[str]:
+    """Long texts take two pages."""
+    return [text] if len(text) < 200 else [text[: len(text) // 2], text[len(text) // 2 :]]
 
 
 def extract_struct(spark, sf_dir):
-    """Each text made a PDF and read back."""
-    ascii_ = F.regexp_replace(F.coalesce("text", F.lit("")), r"[^\x20-\x7E]", " ")
-    make = F.udf(lambda t: write_pdf([t], compress=len(t) > 500), "binary")
-    files = _raw(spark, sf_dir).select(F.concat(F.lit("doc://"), "doc_id").alias("path"), F.length("text").alias("length"), make(ascii_).alias("content"))
-    return extract_texts(files).select("path", "text", "debug")
+    """Each text made a PDF, with its lines and accents and on up to two pages, and read back."""
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            content = [write_pdf(_pages(t), compress=len(t) > 500) for t in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(content, pa.binary())], ["path", "length", "content"])
+
+    texts = _raw(spark, sf_dir).select(F.concat(F.lit("doc://"), "doc_id").alias("path"), F.length("text").cast("long").alias("length"), F.coalesce("text", F.lit("")).alias("text"))
+    return extract_texts(texts.mapInArrow(make, "path string, length long, content binary")).select("path", "text", "debug")
 
 
 def file_scan(spark, sf_dir):
-    """The test tables' own files as binary files: names and lengths, without their contents."""
-    return scan_files(spark, sf_dir, "*.parquet").select(F.regexp_extract("path", r"([^/]+)$", 1).alias("name"), "length")
+    """The test tables' own files as binary files: names, lengths and a digest of what they hold."""
+    return scan_files(spark, sf_dir, "*.parquet").select(F.regexp_extract("path", r"([^/]+)$", 1).alias("name"), "length", F.sha2("content", 256).alias("digest"))
 
 
 def pipeline_two_runs(spark, sf_dir):
     """A first run over the stored documents, a second over the present ones; the index's documents."""
-    store = TableStore(spark, f"{shared_dir(spark)}/store-{uuid.uuid4().hex}")
+    store = TableStore(spark, f"{shared_dir(spark)}/store-{uuid.uuid4().hex}", buckets=8)
     run_once(store, _stored(spark, sf_dir), MODEL, VERSION, options=_BATCHED, now_ms=1_700_000_000_000)
     run_once(store, _new(spark, sf_dir), MODEL, VERSION, options=_BATCHED, now_ms=1_700_000_100_000)
     index = store.read("retrieval_index_1700000100000")
-    return index.groupBy("docId", "title", "embedder").agg(F.count(F.lit(1)).alias("n"), F.min("contentHash").alias("first_hash"))
+    out = work_table(index.groupBy("docId", "title", "embedder").agg(F.count(F.lit(1)).alias("n"), F.min("contentHash").alias("first_hash")), "two_runs")
+    store.drop_all()
+    return out
 
 
 _BATCHED = Options(batch=64)
 
+#: What a page of :func:`write_pdf` can show.
+_CP1252 = r"\x{00}-\x{7F}\x{A0}-\x{FF}" + "".join(rf"\x{{{ord(c):X}}}" for c in "€‚ƒ„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œžŸ")
 _WS = r"[ \t\n\x0B\f\r]"
 _NEW = "SELECT doc_id, 'doc://' || doc_id AS pdfUri, coalesce(text, '') AS text FROM documents"
 _STORED = "SELECT doc_id, 'doc://' || doc_id AS pdfUri, CASE WHEN doc_id % 5 = 0 THEN coalesce(text, '') || ' v0' ELSE coalesce(text, '') END AS text FROM documents WHERE doc_id % 3 <> 0"
@@ -237,6 +260,22 @@ _OPEN = f'NOT EXISTS (SELECT 1 FROM sv WHERE sv."chunkId" = c."chunkId" AND sv."
 _SHRUNK_WITH = f"WITH n AS ({_d(_NEW)}), s AS ({_d(_SHRUNK)}), ch AS (SELECT n.* FROM n JOIN s USING (\"docId\") WHERE s.\"contentHash\" <> n.\"contentHash\"), nc AS ({_c('SELECT * FROM n')}), sc AS ({_c('SELECT * FROM s')}), cc AS ({_c('SELECT * FROM ch')})"
 
 
+def _sentence_chunks(docs: str, window: int = 1500, overlap: int = 250, least: int = 900) -> str:
+    """Chunks that end with a sentence, one after the other."""
+    ends = f"[p FOR p IN range({least}, length(piece) + 1) IF piece[p:p] IN ('.', '!', '?') AND (piece[p + 1:] IN ('', ' ') OR piece[p + 1:p + 1] = ' ' AND piece[p + 2:p + 2] BETWEEN 'A' AND 'Z')]"
+    cut = f"CASE WHEN length(piece) > {least} THEN coalesce(list_max({ends}), length(piece)) ELSE length(piece) END"
+    return f"""
+    WITH RECURSIVE d AS (SELECT "docId", pdfUri, regexp_replace(regexp_replace(text, '{_WS}+', ' ', 'g'), '^[\\x00-\\x20]+|[\\x00-\\x20]+$', '', 'g') AS clean FROM ({docs})),
+    r AS (
+      SELECT "docId", pdfUri, clean, 0 AS k, 0 AS st, piece, {cut} AS n FROM (SELECT *, substring(clean, 1, {window}) AS piece FROM d WHERE length(clean) > 0)
+      UNION ALL
+      SELECT "docId", pdfUri, clean, k + 1, st, piece, {cut} FROM (
+        SELECT "docId", pdfUri, clean, k, nx AS st, substring(clean, nx + 1, {window}) AS piece
+        FROM (SELECT *, CAST(st + greatest(1, CASE WHEN n < length(piece) THEN n - {overlap} ELSE greatest(1, {window - overlap}) END) AS INTEGER) AS nx FROM r) WHERE nx < length(clean)))
+    SELECT "docId", CAST(k AS INTEGER) AS "chunkIndex", CAST(st AS INTEGER) AS "chunkStartIndex", CAST(st + n AS INTEGER) AS "chunkEndIndex", piece[1:n] AS "chunkText", pdfUri AS "sectionPath",
+           sha256(piece[1:n]) AS "chunkContentHash", sha256("docId" || ':' || k || ':' || st || ':' || (st + n)) AS "chunkId" FROM r"""
+
+
 def _hits(known: str) -> str:
     words = ", ".join("'" + w.replace("'", "''") + "'" for w in dict.fromkeys(known.split()))
     return f"len([x FOR x IN w IF x IN ({words})])"
@@ -244,6 +283,12 @@ def _hits(known: str) -> str:
 
 _LANG = "".join(f"{_hits(known)} AS {code}, " for code, known in FUNCTION_WORDS.items())
 
+_LANGUAGE = f"""
+        SELECT "docId", CASE WHEN text = '' OR top <= 0 THEN 'unknown' WHEN de = top THEN 'de' WHEN en = top THEN 'en' WHEN es = top THEN 'es' WHEN fr = top THEN 'fr' ELSE 'pt' END AS language
+        FROM (SELECT *, greatest(de, en, es, fr, pt) AS top FROM (SELECT "docId", text, {_LANG} 0 AS zero
+              FROM (SELECT *, string_split(regexp_replace(lower(text[1:1000]), '[^\\p{{L}}'']+', ' ', 'g'), ' ') AS w FROM ({_d(_NEW)}))))"""
+_VECTOR = "[CAST(('0x' || substring(\"chunkContentHash\", CAST(i * 4 + 1 AS INTEGER), 4))::INTEGER / 65536.0 AS FLOAT) FOR i IN range(0, 16)]"
+
 SQL = {
     "doc_projection": f'SELECT pdfUri AS "pdfUri", title, "docId", "contentHash", CAST(length(text) AS INTEGER) AS n FROM ({_d(_NEW)})',
     "text_normalize": r"""
@@ -253,22 +298,20 @@ SQL = {
                chr(173), ''), '-[ \t\n\x0B\f\r]*\n[ \t\n\x0B\f\r]*', '', 'g'), '[\x{A0}\x{2007}\x{202F}]', ' ', 'g'),
                chr(64256), 'ff'), chr(64257), 'fi'), chr(64258), 'fl'), chr(64259), 'ffi'), chr(64260), 'ffl'),
                '[^\x{20}-\x{7E}\x{A0}-\x{FFFF}\n]', ' ', 'g'), '[ \t\r]+', ' ', 'g'), ' ' || chr(10)) AS text FROM documents""",
-    "language_detect": f"""
-        SELECT "docId", CASE WHEN text = '' OR top <= 0 THEN 'unknown' WHEN de = top THEN 'de' WHEN en = top THEN 'en' WHEN es = top THEN 'es' WHEN fr = top THEN 'fr' ELSE 'pt' END AS language
-        FROM (SELECT *, greatest(de, en, es, fr, pt) AS top FROM (SELECT "docId", text, {_LANG} 0 AS zero
-              FROM (SELECT *, string_split(regexp_replace(lower(text[1:1000]), '[^\\p{{L}}'']+', ' ', 'g'), ' ') AS w FROM ({_d(_NEW)}))))""",
+    "language_detect": _LANGUAGE,
     "chunk_fixed": f"SELECT {_COLS} FROM ({_c(_d(_NEW))})",
     "chunk_small_window": f"SELECT {_COLS} FROM ({_c(_d(_NEW), 100, 20)})",
+    "chunk_intelligent": _sentence_chunks(_d(_NEW)),
     "chunk_statistics": f'SELECT "docId", count(*) AS "count", CAST(min(length("chunkText")) AS INTEGER) AS min_length, CAST(max(length("chunkText")) AS INTEGER) AS max_length, avg(length("chunkText")) AS avg_length, CAST(sum(length("chunkText")) AS BIGINT) AS total_characters FROM ({_c(_d(_NEW))}) GROUP BY "docId"',
     "chunk_metadata": f"SELECT \"docId\", 'chunk_' || (\"chunkIndex\" + 1) AS id, 'chunk_' || (\"chunkIndex\" + 1) AS chunk_id, CAST(\"chunkIndex\" + 1 AS VARCHAR) AS position, CAST(count(*) OVER (PARTITION BY \"docId\") AS VARCHAR) AS total_chunks, CAST(length(\"chunkText\") AS INTEGER) AS n FROM ({_c(_d(_NEW))})",
     "doc_delta_anti": f'{_WITH} SELECT "docId", "contentHash" FROM ch',
-    "existing_distinct": f'SELECT DISTINCT "docId", "contentHash" FROM ({_d(_STORED)})',
+    "existing_distinct": 'SELECT DISTINCT "docId", "contentHash" FROM delta_pdf_docs',
     "embedding_delta_anti": f'{_WITH}, {_HELD} SELECT "chunkId", "chunkContentHash" FROM nc c WHERE {_OPEN}',
     "embed_deterministic": f"SELECT \"chunkId\", \"chunkContentHash\", '{MODEL}' AS \"modelName\", '{VERSION}' AS \"modelVersion\", [CAST(('0x' || substring(\"chunkContentHash\", CAST(i * 4 + 1 AS INTEGER), 4))::INTEGER / 65536.0 AS FLOAT) FOR i IN range(0, 16)] AS embedding FROM ({_c(_d(_NEW))})",
     "merge_docs": f'{_WITH} SELECT "docId", "contentHash", title FROM s WHERE "docId" NOT IN (SELECT "docId" FROM ch) UNION ALL SELECT "docId", "contentHash", title FROM ch',
     "merge_chunks": f'{_WITH} SELECT "chunkId", "docId", "chunkContentHash" FROM sc WHERE "chunkId" NOT IN (SELECT "chunkId" FROM cc) UNION ALL SELECT "chunkId", "docId", "chunkContentHash" FROM cc',
     "merge_embeddings": f'{_WITH}, {_HELD}, f AS (SELECT "chunkId", \'{MODEL}\' AS "modelName", \'{VERSION}\' AS "modelVersion", "chunkContentHash" FROM cc c WHERE {_OPEN}) SELECT "chunkId", "modelName", "modelVersion", "chunkContentHash" FROM sv WHERE NOT EXISTS (SELECT 1 FROM f WHERE f."chunkId" = sv."chunkId" AND f."modelName" = sv."modelName" AND f."modelVersion" = sv."modelVersion") UNION ALL SELECT * FROM f',
-    "snapshot_join": f"SELECT \"chunkId\", \"docId\", \"chunkText\", \"sectionPath\", title, '{MODEL}' AS embedder, '{VERSION}' AS embedder_ver, \"chunkContentHash\" AS \"contentHash\" FROM ({_c(_d(_NEW))})",
+    "snapshot_join": f"SELECT \"chunkId\", \"docId\", \"chunkText\", \"sectionPath\", title, '{MODEL}' AS embedder, '{VERSION}' AS embedder_ver, \"chunkContentHash\" AS \"contentHash\", CAST({AT} AS BIGINT) AS version_ts, {_VECTOR} AS embedding, language FROM ({_c(_d(_NEW))}) JOIN ({_LANGUAGE}) USING (\"docId\")",
     "snapshot_two_models": f"SELECT '{MODEL}' AS embedder, '{VERSION}' AS embedder_ver, count(*) AS n FROM ({_c(_d(_NEW))}) UNION ALL SELECT '{OTHER}', '{VERSION}', count(*) FROM ({_c(_d(_NEW))}) WHERE \"chunkIndex\" % 2 = 0",
     "snapshot_one_model": f'{_WITH}, {_HELD} SELECT nc."chunkId", sv."modelName" AS embedder, nc."chunkContentHash" AS "contentHash" FROM nc JOIN sv ON sv."chunkId" = nc."chunkId" AND sv."chunkContentHash" = nc."chunkContentHash" WHERE sv."modelName" = \'{OTHER}\'',
     "corpus_size": "SELECT count(*) AS docs, CAST(coalesce(sum(strlen(text)), 0) AS BIGINT) AS bytes FROM documents",
@@ -281,9 +324,13 @@ SQL = {
                docs_new_or_changed = 0 AND embeddings_new = 0 AS noop_run FROM k""",
     "stale_chunks_after_edit": f'{_SHRUNK_WITH} SELECT "chunkId", "docId" FROM sc WHERE "chunkId" NOT IN (SELECT "chunkId" FROM nc)',
     "prune_stale": f'{_SHRUNK_WITH} SELECT "chunkId", "docId" FROM nc',
-    "chat_role_mapping": "SELECT doc_id, CASE WHEN doc_type IN ('user', 'system', 'assistant') THEN doc_type ELSE 'user' END AS role FROM documents",
-    "model_dim": 'SELECT "chunkId", "modelName", CASE WHEN "modelName" LIKE \'%small%\' THEN 384 WHEN "modelName" LIKE \'%medium%\' THEN 768 ELSE 1024 END AS dim FROM delta_embeddings',
-    "extract_struct": "SELECT 'doc://' || doc_id AS path, regexp_replace(coalesce(text, ''), '[^\\x20-\\x7E]', ' ', 'g') AS text, 'Successfully extracted text from 1 pages.' AS debug FROM documents",
+    "chat_role_mapping": "SELECT doc_id, CASE doc_id % 8 WHEN 1 THEN 'system' WHEN 2 THEN 'assistant' ELSE 'user' END AS role FROM documents",
+    "model_dim": f'''SELECT "chunkId", "modelName", CASE WHEN contains("modelName", 'small') THEN 384 WHEN contains("modelName", 'medium') THEN 768 ELSE 1024 END AS dim
+        FROM (SELECT "chunkId", unnest([{', '.join(f"{chr(34)}modelName{chr(34)} || '{x}'" for x in SIZES)}]) AS "modelName" FROM delta_embeddings)''',
+    "extract_struct": f"""
+        SELECT path, CASE WHEN n < 200 THEN trim(t, chr(10)) ELSE trim(t[1:n // 2], chr(10)) || '======' || chr(10) || chr(10) || '======' || trim(t[n // 2 + 1:], chr(10)) END AS text,
+               'Successfully extracted text from ' || CASE WHEN n < 200 THEN 1 ELSE 2 END || ' pages.' AS debug
+        FROM (SELECT 'doc://' || doc_id AS path, length(coalesce(text, '')) AS n, regexp_replace(coalesce(text, ''), '[^{_CP1252}]', '?', 'g') AS t FROM documents)""",
     "pipeline_two_runs": f"""{_WITH}, m AS (SELECT "chunkId", "docId", "chunkContentHash" FROM sc WHERE "chunkId" NOT IN (SELECT "chunkId" FROM cc) UNION ALL SELECT "chunkId", "docId", "chunkContentHash" FROM cc),
         d AS (SELECT "docId", title FROM n)
         SELECT "docId", title, '{MODEL}' AS embedder, count(*) AS n, min("chunkContentHash") AS first_hash FROM m JOIN d USING ("docId") GROUP BY "docId", title""",

@@ -44,14 +44,14 @@ def _delete(spark: SparkSession, path: str) -> None:
 @atexit.register
 def _cleanup() -> None:
     for path, spark in _OWNED.items():
-        _delete(spark, path)
+        _delete(spark, path.rpartition("/")[0])
 
 
 def drop_table(df: DataFrame) -> None:
     """Delete a table made by :func:`work_table` once nothing reads it any more."""
     path = getattr(df, "_cairn_path", None)
     if path and path in _OWNED:
-        _delete(_OWNED.pop(path), path)
+        _delete(_OWNED.pop(path), path.rpartition("/")[0])  # with the folder of its own
 
 
 def work_table(df: DataFrame, name: str) -> DataFrame:
