@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.functions.text import FUNCTION_WORDS, LIGATURES, chat_role, model_dimension, normalize
+from cairn.functions.text import FUNCTION_WORDS, LIGATURES, SCRIPTS, chat_role, model_dimension, normalize
 from cairn.operators.chunking import chunk_at_sentences, chunk_documents, chunk_metadata, chunk_statistics
 from cairn.operators.delta import changed_documents, chunks_to_embed, prune_stale, stored_hashes, upsert
 from cairn.operators.documents import project_documents
@@ -283,10 +283,25 @@ def _hits(known: str) -> str:
 
 _LANG = "".join(f"{_hits(known)} AS {code}, " for code, known in FUNCTION_WORDS.items())
 
+
+def _letters(of: str) -> str:
+    return f"length(regexp_replace(low, '[^{of}]', '', 'g'))"
+
+
+def _by_script() -> str:
+    kana, han = r"\p{Hiragana}\p{Katakana}", r"\p{Han}"
+    out = [f"WHEN 2 * {_letters(kana + han)} > letters AND {_letters(kana)} > 0 THEN 'ja'"]
+    for script, codes in SCRIPTS.items():
+        own = " ".join(f"WHEN {_letters(x)} > 0 THEN '{c}'" if x else f"ELSE '{c.strip()}'" for c, x in codes.items())
+        out.append(f"WHEN 2 * {_letters(chr(92) + 'p{' + script + '}')} > letters THEN " + (f"CASE {own} END" if len(codes) > 1 else own.removeprefix("ELSE ")))
+    return " ".join(out)
+
+
+_TOP = " ".join(f"WHEN {code} = top THEN '{code}'" for code in sorted(FUNCTION_WORDS))
 _LANGUAGE = f"""
-        SELECT "docId", CASE WHEN text = '' OR top <= 0 THEN 'unknown' WHEN de = top THEN 'de' WHEN en = top THEN 'en' WHEN es = top THEN 'es' WHEN fr = top THEN 'fr' ELSE 'pt' END AS language
-        FROM (SELECT *, greatest(de, en, es, fr, pt) AS top FROM (SELECT "docId", text, {_LANG} 0 AS zero
-              FROM (SELECT *, string_split(regexp_replace(lower(text[1:1000]), '[^\\p{{L}}'']+', ' ', 'g'), ' ') AS w FROM ({_d(_NEW)}))))"""
+        SELECT "docId", CASE WHEN low = '' THEN 'unknown' {_by_script()} WHEN top <= 0 THEN 'unknown' {_TOP} END AS language
+        FROM (SELECT *, greatest({', '.join(FUNCTION_WORDS)}) AS top FROM (SELECT "docId", low, length(regexp_replace(low, '[^\\p{{L}}]', '', 'g')) AS letters, {_LANG} 0 AS zero
+              FROM (SELECT *, string_split(regexp_replace(low, '[^\\p{{L}}'']+', ' ', 'g'), ' ') AS w FROM (SELECT *, lower(text[1:1000]) AS low FROM ({_d(_NEW)})))))"""
 _VECTOR = "[CAST(('0x' || substring(\"chunkContentHash\", CAST(i * 4 + 1 AS INTEGER), 4))::INTEGER / 65536.0 AS FLOAT) FOR i IN range(0, 16)]"
 
 SQL = {

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import json
+import zlib
 
 import pytest
 
@@ -41,6 +42,31 @@ def test_chunks_of_a_file(tmp_path):
     assert chunks_of_file(str(tmp_path / "none.pdf")) is None
 
 
+def _object_stream_pdf():
+    """A file as common writers make it: objects packed and deflated, codes of two bytes, a table for them."""
+    cmap = b"1 begincodespacerange <0000> <FFFF> endcodespacerange 2 beginbfchar <0001> <0047> <0002> <00FC> endbfchar 1 beginbfrange <0010> <0012> <0061> endbfrange 1 beginbfrange <0020> <0021> [<00660069> <4E2D>] endbfrange"
+    content = b"BT /F1 12 Tf 40 700 Td <000100020010> Tj 0 -14 Td [<00110012> -500 <00200021>] TJ ET"
+    packed = [(1, b"<< /Type /Catalog /Pages 2 0 R >>"), (2, b"<< /Type /Pages /Kids [3 0 R] /Count 1 /Resources << /Font << /F1 4 0 R >> >> >>"), (3, b"<< /Type /Page /Parent 2 0 R /Contents 5 0 R >>"), (4, b"<< /Type /Font /Subtype /Type0 /ToUnicode 6 0 R >>")]
+    head, body = b"", b""
+    for n, x in packed:
+        head += b"%d %d " % (n, len(body))
+        body += x + b" "
+    inside = zlib.compress(head + body)
+
+    def stream(n, data, extra=b""):
+        z = zlib.compress(data)
+        return b"%d 0 obj\n<< /Length %d /Filter /FlateDecode%s >>\nstream\n" % (n, len(z), extra) + z + b"\nendstream\nendobj\n"
+
+    pack = b"7 0 obj\n<< /Type /ObjStm /N 4 /First %d /Length %d /Filter /FlateDecode >>\nstream\n" % (len(head), len(inside)) + inside + b"\nendstream\nendobj\n"
+    return b"%PDF-1.5\n" + stream(5, content) + stream(6, cmap) + pack + b"startxref\n0\n%%EOF\n"
+
+
+def test_packed_objects_and_font_tables():
+    assert extract(_object_stream_pdf()) == ("Güa\nbc ﬁ中".replace("ﬁ", "fi"), "Successfully extracted text from 1 pages.")
+    text, debug = extract(_object_stream_pdf() + b"trailer << /Encrypt 9 0 R >>")
+    assert text == "" and debug.startswith("Error") and "encrypted" in debug
+
+
 def test_store_publishes_together(spark, tmp_path):
     store = TableStore(spark, f"file://{tmp_path}/s")
     assert store.tables() == [] and store.read_or_none("x") is None

@@ -6,7 +6,8 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from cairn.functions.text import chat_role, collapse_whitespace, language, model_dimension, normalize, title
+from cairn.functions.text import chat_role, collapse_whitespace, language, language_of, model_dimension, normalize, title
+from tests.conftest import DATA
 
 
 def one(spark, value, function, kind="string"):
@@ -44,10 +45,20 @@ def test_language_contract(spark):
     texts = {"en": "the cat and the dog are in the house", "fr": "le chat et le chien sont dans la maison avec nous", "de": "die Katze und der Hund sind in dem Haus", "es": "el gato y el perro están en la casa de los", "pt": "o gato e o cachorro não estão na casa do homem"}
     for code, text in texts.items():
         assert one(spark, text, language) == code
+    more = {"ru": "Привет, это новый документ", "uk": "Це новій документ і звіт", "bg": "Това е нов документ от съвета", "ja": "これは新しい文書です", "zh": "这是一份新文件", "el": "Το νέο έγγραφο", "ko": "이것은 새 문서", "he": "זה מסמך חדש", "ar": "هذا مستند جديد", "it": "il documento che non è della biblioteca", "nl": "het is een van de boeken met niet veel", "tr": "bu bir belge ve daha çok olan", "pl": "nie jest to na stole, oraz się dla nich"}
+    for code, text in more.items():
+        assert language_of(text) == code
     # only the first 1000 characters count
     assert one(spark, "der die das und " * 70 + "the of and to in " * 900, language) == "de"
 
 
+def test_language_against_labels(spark):
+    """Labels that come with the texts, not with the detector."""
+    df = spark.read.parquet(f"{DATA}/documents.parquet").where("lang IS NOT NULL AND length(text) > 100")
+    right = df.where(language(F.col("text")) == F.col("lang")).count()
+    assert right >= 0.97 * df.count() > 0
+
+
 def test_dimension_and_role(spark):
     for name, dim in (("x-small", 384), ("x-medium", 768), ("x-large", 1024), ("other", 1024)):
         assert one(spark, name, model_dimension) == dim
