@@ -14,6 +14,8 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -192,11 +194,22 @@ def fit_centroids(sample: np.ndarray, count: int, rounds: int = FIT_ROUNDS, seed
 
 
 def usable(df: DataFrame, id_col: str = "chunkId", vector: str = "embedding", width: int = 64) -> DataFrame:
-    """``(id, vec)``: rows whose vector has ``width`` finite values, not all zero."""
-    v = F.col("vec")
-    rows = df.select(F.col(id_col).alias("id"), F.col(vector).cast("array<float>").alias("vec"))
-    finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    return rows.where(F.col("id").isNotNull() & v.isNotNull()).where(F.size("vec") == width).where(finite & F.exists(v, lambda x: x != 0))
+    """``(id, vec, way)``: rows whose vector has ``width`` finite values, not all zero, and a digest
+    of its direction to 12 decimals."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = batch.column(1)
+            sized = np.flatnonzero(pc.fill_null(pc.list_value_length(column), -1).to_numpy() == width)
+            raw = np.ascontiguousarray(_matrix(column.take(pa.array(sized)), width), np.float32)  # a null inside is NaN
+            good = np.isfinite(raw).all(axis=1) & raw.any(axis=1)
+            raw, sized = raw[good], sized[good]
+            ways = np.round(units(raw), 12) + 0.0 if len(raw) else np.zeros((0, width))
+            vec = pa.ListArray.from_arrays(np.arange(len(raw) + 1, dtype=np.int32) * width, raw.ravel())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(sized)), vec, pa.array([xxhash.xxh3_128_digest(w.tobytes()) for w in ways], pa.binary())], ["id", "vec", "way"])
+
+    rows = df.select(F.col(id_col).alias("id"), F.col(vector).cast("array<float>").alias("vec")).where("id IS NOT NULL AND vec IS NOT NULL")
+    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, vec array<float>, way binary")
 
 
 def _matrix(column: pa.Array, width: int) -> np.ndarray:
@@ -214,13 +227,10 @@ def nearest_vectors(vectors: DataFrame, k: int = 5, id_col: str = "chunkId", vec
     """
     spark = vectors.sparkSession
     rows = usable(vectors, id_col, vector, width)
-    norm = F.sqrt(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
-    rows = rows.select("id", "vec", norm.alias("norm")).select("id", "vec", F.transform("vec", lambda x: F.round(x.cast("double") / F.col("norm"), 12) + 0.0).alias("way"))
-    rows = rows.select("id", "vec", F.xxhash64("way").alias("k1"), F.xxhash64(F.lit(1), "way").alias("k2"))
     kind = rows.schema["id"].dataType.simpleString()
     # Vectors of one direction are one node; nodes are numbered once, in a written table.
-    first = rows.groupBy("k1", "k2").agg(F.min(F.struct("id", "vec")).alias("f"), F.count(F.lit(1)).alias("n"))
-    classes = work_table(first.select(F.monotonically_increasing_id().alias("node"), "k1", "k2", F.col("f.id").alias("id"), "n", F.col("f.vec").alias("vec")), "classes")
+    first = rows.groupBy("way").agg(F.min(F.struct("id", "vec")).alias("f"), F.count(F.lit(1)).alias("n"))
+    classes = work_table(first.select(F.monotonically_increasing_id().alias("node"), "way", F.col("f.id").alias("id"), "n", F.col("f.vec").alias("vec")), "classes")
     total = classes.count()
     if not total:
         return spark.createDataFrame([], f"id {kind}, neighbour {kind}, similarity double, place int")
@@ -292,17 +302,20 @@ def _homes(near: np.ndarray, visit: int) -> np.ndarray:
 
 def _put_back(near: DataFrame, rows: DataFrame, classes: DataFrame, k: int) -> DataFrame:
     """From nodes to ids: equal vectors are each other's nearest, and stand in for their node."""
-    multi = classes.where("n > 1").select("k1", "k2", "node")
+    multi = classes.where("n > 1").select("way", "node")
     # a third of all vectors may be equal: their rows are spread over tasks
-    members = work_table(spread_join(rows.select("k1", "k2", "id"), multi, ["k1", "k2"], "id").select("node", "id"), "members")
+    members = work_table(spread_join(rows.select("way", "id"), multi, ["way"], "id").select("node", "id"), "members")
     w = Window.partitionBy("node").orderBy("id")
     # The window's limit is applied before the shuffle too, so a huge class ships few ids a task.
     groups = members.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k + 1).groupBy("node").agg(F.collect_list("id").alias("ids"))
     single = classes.where("n = 1").select("node", F.array("id").alias("ids"))
     names = single.unionByName(groups)
-    entries = near.join(names.withColumnRenamed("node", "other"), "other").select("node", F.explode("ids").alias("id"), "similarity")
+    # of a node's answers only the best k + 1, and those as similar as the last of them, can be needed
+    answers = near.groupBy("node").agg(F.sort_array(F.collect_set(F.struct((-F.col("similarity")).alias("d"), "other"))).alias("all"))
+    last = F.element_at("all", F.least(F.size("all"), F.lit(k + 1)))
+    answers = answers.select("node", F.inline(F.filter("all", lambda x: x.d <= last.d))).select("node", "other", (-F.col("d")).alias("similarity"))
+    entries = answers.join(names.withColumnRenamed("node", "other"), "other").select("node", F.explode("ids").alias("id"), "similarity")
     own = groups.select("node", F.explode("ids").alias("id"), F.lit(1.0).alias("similarity"))
-    # A node's candidates are few: its shards' answers. No more than the best k + 1 can be needed.
     best = (
         entries.unionByName(own)
         .groupBy("node")
