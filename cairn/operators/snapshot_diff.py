@@ -170,6 +170,8 @@ def snapshot_changes(
         tables = _tables(part, cells, last)
         if todo is not None:
             tables = tables.join(todo, ["pair", "bucket"], "left_semi")
+        # tables are small but slow to peel: a number of tasks that isn't cut down to their bytes
+        tables = tables.repartition(max(1, min(buckets * last, spark.sparkContext.defaultParallelism * 2)), "pair", "bucket")
         peeled = work_table(tables.mapInPandas(_peel_batches(cells), _SCHEMA), "peeled")
         results.append(peeled.where("ok").select("pair", "side", "k", "v"))
         todo = peeled.where("NOT ok").select("pair", "bucket")
