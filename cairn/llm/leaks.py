@@ -214,21 +214,35 @@ class _Items:
     def leaked(self, texts: list[str | None]) -> list[tuple]:
         """``(text's index, item_id, windows, edits)`` of the items with a window within the edits."""
         corpus = _Corpus(texts, self.window, self.edits, self.runs)
-        near: dict[tuple[int, int], int] = {}  # (place, item) -> fewest edits
+        hits: list[np.ndarray] = []  # rows of place, item, edits
+        pending: list[np.ndarray] = []
+
+        def verify(part: np.ndarray) -> None:
+            """Every pair once, in however many repetitions it came up."""
+            pairs = np.unique(np.concatenate(pending)) if pending else np.zeros(0, np.int64)
+            pending.clear()
+            for b in range(0, len(pairs), CANDIDATES):
+                i, n = np.divmod(pairs[b : b + CANDIDATES], len(self.starts))
+                d = edit_distances(self.h[self.starts[n][:, None] + np.arange(self.window)], corpus.spans(part[i]), self.edits)
+                good = d <= self.edits
+                hits.append(np.stack([part[i[good]], self.item[n[good]], d[good]]).astype(np.int64))
+
         for a in range(0, len(corpus.starts), BLOCK):
-            part = corpus.starts[a : a + BLOCK]
+            part, size = corpus.starts[a : a + BLOCK], 0
             for rep, (steps, sampled) in enumerate(self.plan):
                 for i, n in self._candidates(window_keys(corpus.h, part, self.window, steps, sampled), rep):
-                    own = self.h[self.starts[n][:, None] + np.arange(self.window)]
-                    d = edit_distances(own, corpus.spans(part[i]), self.edits)
-                    good = d <= self.edits
-                    for p, x, k in zip(part[i[good]].tolist(), self.item[n[good]].tolist(), d[good].tolist()):
-                        near[p, x] = min(k, near.get((p, x), k))
-        if not near:
+                    pending.append(i * np.int64(len(self.starts)) + n)
+                    size += len(i)
+                    if size >= 20 * CANDIDATES:
+                        verify(part)
+                        size = 0
+            verify(part)
+        found = np.concatenate(hits, axis=1) if hits else np.zeros((3, 0), np.int64)
+        if not found.shape[1]:
             return []
-        places = np.fromiter((p for p, _ in near), np.int64, len(near))
-        hits = pd.DataFrame({"t": corpus.text_of(places), "item": [x for _, x in near], "edits": list(near.values())})
-        out = hits.groupby(["t", "item"], sort=False)["edits"].agg(["size", "min"])
+        near = pd.DataFrame({"place": found[0], "item": found[1], "edits": found[2]}).groupby(["place", "item"], sort=False)["edits"].min().reset_index()
+        near["t"] = corpus.text_of(near["place"].to_numpy())
+        out = near.groupby(["t", "item"], sort=False)["edits"].agg(["size", "min"])
         return [(t, self.ids[x], n, k) for (t, x), n, k in zip(out.index.tolist(), out["size"].tolist(), out["min"].tolist())]
 
 
