@@ -14,8 +14,6 @@ end is noise if the vocabulary has the word without it rather than with it.
 from __future__ import annotations
 
 import difflib
-import itertools
-import json
 import re
 import zlib
 from collections import Counter
@@ -28,7 +26,7 @@ from pyspark.sql import functions as F
 
 from cairn.llm.words import bit_filter
 from cairn.operators.spread import spread_join
-from cairn.session import work_table
+from cairn.session import drop_table, work_table
 
 #: Usual confusions, what is recognised and what stands on the page, for texts too few
 #: to learn from; :func:`learned_confusions` adds those of the scans at hand, in either direction.
@@ -246,12 +244,15 @@ def header_shapes(words: DataFrame) -> DataFrame:
     return words.where(F.col("word").startswith("\n")).where(low > ODD_SHARE).select("word")
 
 
-def learned_confusions(words: DataFrame, least: int = LEARN_COUNT, ratio: int = RATIO) -> list[tuple[str, str]]:
-    """``(wrong, right)`` confusions of one or two characters that the vocabulary shows, sorted.
+def confusion_table(words: DataFrame, least: int = LEARN_COUNT, ratio: int = RATIO) -> DataFrame:
+    """``(wrong, right)`` confusions of one or two characters that the vocabulary shows.
 
     A confusion's share tells it from inflection and chance: a scanner mistakes the same characters
     in any word, while few words have a rare neighbour by any other replacement. Letters that only
-    changed places are a typist's.
+    changed places are a typist's. A rare word counts for its best explanation only, which is a
+    change of places or a usual confusion, else the one with the greatest share: names that differ
+    in a syllable would else show as many confusions as there are pairs of syllables, each by
+    misread forms of the other name.
     """
     latin = _latin(words).where(f"length(word) >= {SHORTEST}").select("word", "n")
     often = latin.where((F.col("n") >= least) & F.col("word").rlike("^[^0-9@|!$]+$"))
@@ -263,33 +264,61 @@ def learned_confusions(words: DataFrame, least: int = LEARN_COUNT, ratio: int =
     pairs = pairs.join(F.broadcast(right) if often.count() <= BROADCAST_WORDS else right, "key").where((F.col("many") >= F.col("n") * ratio) & (F.col("part") != F.col("good")))
     longer = (F.length("part") > 1) | (F.length("good") > 1)
     same_end = (F.left("part", F.lit(1)) == F.left("good", F.lit(1))) | (F.right("part", F.lit(1)) == F.right("good", F.lit(1)))
-    pairs = pairs.where(~(longer & same_end) & (F.reverse("part") != F.col("good")))
-    seen = pairs.groupBy("part", "good").agg(F.count_distinct("right").alias("seen")).where(F.col("seen") >= LEARN_WORDS)
+    pairs = work_table(pairs.where(~(longer & same_end)).select("word", "right", "part", "good").distinct(), "neighbours")
     held = right.groupBy("good").agg(F.count_distinct("right").alias("held"))
-    found = seen.join(held, "good").where(F.col("seen") >= LEARN_SHARE * F.col("held"))
-    return sorted((r.part, r.good) for r in found.collect())  # of one or two characters: an alphabet bounds them
+
+    def shared(df: DataFrame) -> DataFrame:
+        seen = df.groupBy("part", "good").agg(F.count_distinct("right").alias("seen")).where(F.col("seen") >= LEARN_WORDS)
+        return seen.join(held, "good").withColumn("share", F.col("seen") / F.col("held")).where(F.col("seen") >= LEARN_SHARE * F.col("held")).select("part", "good", "share")
+
+    places = F.reverse("part") == F.col("good")
+    first = places | F.concat_ws(" ", "part", "good").isin([f"{w} {r}" for w, r in CONFUSIONS])
+    explained = pairs.join(shared(pairs), ["part", "good"], "left").where(first | F.col("share").isNotNull())
+    best = Window.partitionBy("word").orderBy(first.desc(), F.desc_nulls_last("share"), F.length("part") + F.length("good"), "part", "good")
+    found = shared(explained.withColumn("k", F.rank().over(best)).where("k = 1").select("word", "right", "part", "good"))
+    out = work_table(found.where(~places).select(F.col("part").alias("wrong"), F.col("good").alias("right")), "confusions")
+    drop_table(pairs)
+    return out
+
+
+def learned_confusions(words: DataFrame, least: int = LEARN_COUNT, ratio: int = RATIO) -> list[tuple[str, str]]:
+    """The rows of :func:`confusion_table`, sorted."""
+    return sorted((r.wrong, r.right) for r in confusion_table(words, least, ratio).collect())
 
 
 def _latin(words: DataFrame) -> DataFrame:
     return words.where(rf"length(word) BETWEEN {SHORTEST - 1} AND 40 AND word RLIKE '^[0-9@|!$a-zß-öø-ɏ]+$'")
 
 
-def corrections(words: DataFrame, least: int = LEAST_COUNT, ratio: int = RATIO, confusions: tuple[tuple[str, str], ...] = CONFUSIONS) -> DataFrame:
+def corrections(words: DataFrame, least: int = LEAST_COUNT, ratio: int = RATIO, confusions: tuple[tuple[str, str], ...] = CONFUSIONS, learned: DataFrame | None = None) -> DataFrame:
     """``(wrong, right, changes)``: each rare word's best correction.
 
     Ranked by fewest confusions, then by the frequency of the word it becomes, then by that word.
+    ``learned`` has ``(wrong, right)`` of more confusions. The confusions are a table that a word's
+    parts are joined with, twice for two of them; neither they nor their pairs are in the plan.
     """
+    spark = words.sparkSession
     latin = _latin(words).withColumn("value", anagram_value(F.col("word")))
     frequent = latin.where((F.col("n") >= least) & F.col("word").rlike("^[^0-9@|!$]+$")).select(F.col("word").alias("right"), F.col("n").alias("many"), (F.col("capital") / F.col("n")).alias("right_capital"), "value")
     rare = latin.where(f"length(word) >= {SHORTEST}").select(F.col("word").alias("wrong"), "n", (F.col("capital") / F.col("n")).alias("capital"), "value")
-    single = [([w], [r], 1) for w, r in confusions]
-    double = [([a[0], b[0]], [a[1], b[1]], 2) for a, b in itertools.combinations_with_replacement(confusions, 2)]
-    table = [(w, r, k, sum(map(_value, r)) - sum(map(_value, w))) for w, r, k in single + double]
-    # The table of differences is of fixed size and a literal: each word is shifted where it can be.
-    steps = F.from_json(F.lit(json.dumps([{"w": w, "r": r, "changes": k, "step": d} for w, r, k, d in table])), "array<struct<w:array<string>,r:array<string>,changes:int,step:bigint>>")
-    wrong, long_enough = F.col("wrong"), F.length("wrong") >= SHORTEST_TWICE
-    possible = F.filter(steps, lambda s: (F.instr(wrong, s.w[0]) > 0) & ((s.changes == 1) | long_enough & (F.instr(wrong, F.element_at(s.w, -1)) > 0)))
-    shifted = rare.select("wrong", "n", "capital", "value", F.inline(possible)).select("wrong", "n", "capital", "w", "r", "changes", (F.col("value") + F.col("step")).alias("value"))
+    table = spark.createDataFrame([(k, w, r) for k, (w, r) in enumerate(confusions)], "place int, w string, r string")
+    if learned is not None:
+        more = learned.toDF("w", "r").join(table, ["w", "r"], "left_anti")
+        table = table.unionByName(more.select(F.lit(len(confusions)).alias("place"), "w", "r"))
+    table = work_table(table.withColumn("step", anagram_value(F.col("r")) - anagram_value(F.col("w"))), "confusions")
+    size = table.agg(F.count(F.lit(1)), F.max(F.length("w"))).first()
+
+    def shift(df: DataFrame, times: int) -> DataFrame:
+        """Each row with every confusion of which its word holds the wrong characters."""
+        parts = F.expr(f"explode(array_distinct(flatten(transform(sequence(1, least({size[1] or 1}, length(wrong))), k -> transform(sequence(1, length(wrong) - k + 1), i -> substring(wrong, i, k))))))")
+        steps = table.toDF(*[f"{c}{times}" for c in ("place", "part", "r", "step")])
+        return df.withColumn(f"part{times}", parts).join(F.broadcast(steps) if size[0] <= BROADCAST_WORDS else steps, f"part{times}")
+
+    once = shift(rare, 1)
+    order = lambda k: F.struct(F.col(f"place{k}").alias("place"), F.col(f"part{k}").alias("w"), F.col(f"r{k}").alias("r"))
+    twice = shift(once.where(f"length(wrong) >= {SHORTEST_TWICE}"), 2).where(order(1) <= order(2))
+    shifted = once.select("wrong", "n", "capital", F.array("part1").alias("w"), F.array("r1").alias("r"), F.lit(1).alias("changes"), (F.col("value") + F.col("step1")).alias("value"))
+    shifted = shifted.unionByName(twice.select("wrong", "n", "capital", F.array("part1", "part2").alias("w"), F.array("r1", "r2").alias("r"), F.lit(2).alias("changes"), (F.col("value") + F.col("step1") + F.col("step2")).alias("value")))
     hits = shifted.join(frequent, "value").where((F.col("many") >= F.col("n") * ratio) & (F.col("wrong") != F.col("right")))
     # misreading keeps the case: what is mostly capitalised, unlike its correction, is a name
     hits = hits.where(~((F.col("capital") > NAME) & (F.col("right_capital") < ORDINARY)))
@@ -367,8 +396,7 @@ def scan_noise(texts: DataFrame, titles: DataFrame | None = None, id_col: str =
     rows = work_table(src.select("id", "title", "text"), "texts")
     # copies of a text count once: a misread word in one doesn't become frequent
     words = work_table(vocabulary(rows.select("text").distinct(), "text"), "words")
-    confusions = tuple(dict.fromkeys([*CONFUSIONS, *learned_confusions(words)]))
-    fixes = work_table(corrections(words, confusions=confusions), "corrections")
+    fixes = work_table(corrections(words, learned=confusion_table(words)), "corrections")
     # two filters of FILTER_BITS / 8 bytes
     shared = spark.sparkContext.broadcast((_filter(fixes.select("wrong")), _filter(header_shapes(words))))
 

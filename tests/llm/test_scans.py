@@ -94,6 +94,32 @@ def test_confusions_that_no_table_has(spark):
     assert learned_confusions(vocabulary(df.limit(0), "chunkText")) == []
 
 
+def test_names_that_differ_in_a_syllable(spark):
+    """Misread and misspelt forms of one name are no confusion that makes another name of them."""
+    r = random.Random(3)
+    parts = ["ba", "ce", "di", "fo", "gu", "ki", "lo", "mu"]
+    names = sorted({a + b + c for a in parts for b in parts for c in parts if len({a, b, c}) == 3})
+    counts = {w: [200, 200] for w in r.sample(names, 200)}
+    for w in list(counts):
+        counts.setdefault(w.replace("e", "c", 1), [2, 2])
+        at = r.randrange(1, len(w) - 1)
+        counts.setdefault(w[:at] + w[at + 1] + w[at] + w[at + 2 :], [1, 1])
+    words = spark.createDataFrame([(w, n, c) for w, (n, c) in counts.items()], "word string, n long, capital long")
+    assert learned_confusions(words) == [("c", "e")]
+
+
+def test_many_confusions_are_not_in_the_plan(spark):
+    """The plan, which the driver holds, is as long with 214 confusions as with 16; all are applied, pairs too."""
+    letters = "bdfgjkpqvxyz"
+    more = tuple((a + b, c + d) for a in letters for b in letters for c, d in ("ae", "io", "ua") if a < b)
+    words = spark.createDataFrame([("rnanuscript", 1, 0), ("manuscript", 90, 0), ("lbdrarfz", 1, 0), ("laerario", 90, 0)], "word string, n long, capital long")
+    assert len(CONFUSIONS) + len(more) == 214
+    few, many = corrections(words), corrections(words, confusions=(*CONFUSIONS, *more))
+    length = lambda df: len(df._jdf.queryExecution().toString())
+    assert length(many) < 1.5 * length(few) + 10_000
+    assert rows(few) == [("rnanuscript", "manuscript", 1)] and rows(many) == [("lbdrarfz", "laerario", 2), ("rnanuscript", "manuscript", 1)]
+
+
 def test_first_and_last_words(spark):
     clean = [(f"c{k}", f"{PLAIN} Folio {k}.") for k in range(40)]
     found, repaired = noise(spark, [*clean, ("first", PLAIN.replace("The", "Tne", 1)), ("a", "Rnanuscript of the library. " + PLAIN), ("z", PLAIN + " It was the rnanuscript."), ("cut", "rnanuscript of the library. " + PLAIN)])
