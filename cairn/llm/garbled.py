@@ -20,10 +20,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
-from cairn.operators.sampling import hash_sample
 from cairn.session import drop_table, work_table
 
 #: Longest n-gram, slots of each order's table of counts (a bound on the model's size), smoothing.
@@ -43,8 +42,10 @@ LEAST_SCRIPT = 2
 CLEAN_GAIN = 4.0
 #: A word is left out as well if a possible original has this many times its count.
 BROADER = 6
-#: Words of validation, about; the margins tried; false alarms allowed among clean words.
-VALIDATE, MARGINS, FALSE_RATE = 2000, (4.0, 5.0, 6.0, 8.0, 10.0, 12.0), 0.0005
+#: The margins tried; false alarms allowed among clean words; words that a task of validation judges.
+MARGINS, FALSE_RATE, TASK_WORDS = (4.0, 5.0, 6.0, 8.0, 10.0, 12.0), 0.0005, 200
+#: The mistakes, as (read as, written in), that clean words are garbled by for validation.
+ON_PURPOSE = (("cp1252", "utf-8"), ("mac_roman", "cp1252"), ("cp850", "utf-8"), ("cp1251", "cp1252"))
 #: Log-odds for a chain that ends in UTF-8: bytes that aren't UTF-8 are seldom valid as such.
 VALID = 4.0
 #: A word as the model sees it: no ASCII white space, at least one character beyond ASCII.
@@ -284,22 +285,41 @@ def _ngram_counts(words: DataFrame) -> np.ndarray:
     return table.reshape(ORDER + 1, SLOTS)
 
 
-def validated_margin(model: Model, clean: list[tuple[str, float]]) -> float:
+def margin_sums(counts: np.ndarray, clean: DataFrame) -> list[Row]:
+    """``(margin, false, weight, found, garbled)``: what each margin does to the clean words, all of them.
+
+    ``false`` of ``weight`` are false alarms, ``found`` of ``garbled`` the words garbled on purpose that
+    are beyond the margin. The words are judged by the tasks; these sums come to the driver.
+    """
+    shared = clean.sparkSession.sparkContext.broadcast(counts)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, margins = Model(shared.value), np.array(MARGINS)
+        sums = np.zeros((len(MARGINS), 4))
+        for batch in batches:
+            judged = [(w, n, *model.best(w)) for w, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
+            gains = np.array([(gain, n) for w, n, gain, original, chain in judged if telling(w, chain, original)]).reshape(-1, 2)
+            trial = [x for w, *_ in judged for r, wr in ON_PURPOSE if (x := garble(w, wr, r)) and x != w]
+            found = np.array([model.best(x)[0] for x in trial])
+            for k, m in enumerate(margins):
+                sums[k] += gains[gains[:, 0] > m, 1].sum(), gains[:, 1].sum(), (found > m).sum(), len(found)
+        yield pa.RecordBatch.from_arrays([pa.array(margins), *(pa.array(x) for x in sums.T)], ["margin", "false", "weight", "found", "garbled"])
+
+    # the table is small and the work on a word is not
+    spread = clean.select("word", "n").repartition(1 + clean.count() // TASK_WORDS, "word")
+    rows = spread.mapInArrow(run, "margin double, false double, weight double, found double, garbled double")
+    return rows.groupBy("margin").agg(*[F.sum(c).alias(c) for c in ("false", "weight", "found", "garbled")]).collect()
+
+
+def validated_margin(sums: list[Row]) -> float:
     """The smallest margin with at most FALSE_RATE false alarms among clean words, by weight.
 
     Margins with equally few are told apart by the share found of the words garbled on purpose.
     """
-    judged = [(w, n, *model.best(w)) for w, n in clean]
-    gains = [(gain, n) for w, n, gain, original, chain in judged if telling(w, chain, original)]
-    weight = sum(n for _, n in gains) or 1
-    false = {m: sum(n for g, n in gains if g > m) / weight for m in MARGINS}
-    good = [m for m in MARGINS if false[m] <= FALSE_RATE]
+    good = [r for r in sums if r["false"] <= FALSE_RATE * (r.weight or 1)]
     if not good:
         return MARGINS[-1]
-    trial = [x for w, _ in clean[:: max(1, len(clean) // 300)] for r, wr in (("cp1252", "utf-8"), ("mac_roman", "cp1252"), ("cp850", "utf-8"), ("cp1251", "cp1252")) if (x := garble(w, wr, r)) and x != w]
-    found = [model.best(x)[0] for x in trial]
-    share = {m: sum(g > m for g in found) / max(1, len(found)) for m in good}
-    return max(good, key=lambda m: (round(share[m], 2), m))
+    return max((round(r.found / max(1, r.garbled), 2), r.margin) for r in good)[1]
 
 
 class Judge:
@@ -382,10 +402,10 @@ def fit(documents: DataFrame, text: str = "text", source: str | None = None) ->
 
     clean = work_table(broad.mapInArrow(keep, "word string, n double"), "clean_words")
     counts = _ngram_counts(clean)
-    some = hash_sample(clean, "word", VALIDATE).collect()
+    margin = validated_margin(margin_sums(counts, clean))
     for table in (words, broad, clean):
         drop_table(table)
-    return counts, validated_margin(Model(counts), [(r.word, r.n) for r in some])
+    return counts, margin
 
 
 def restore(documents: DataFrame, id_col: str = "doc_id", text: str = "text", source: str | None = None, fitted: tuple[np.ndarray, float] | None = None) -> DataFrame:

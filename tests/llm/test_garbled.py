@@ -1,8 +1,10 @@
 from __future__ import annotations
 
+import itertools
+
 import pytest
 
-from cairn.llm.garbled import candidates, chains, fit, garble, repair, restore
+from cairn.llm.garbled import MARGINS, ON_PURPOSE, _ngram_counts, candidates, chains, fit, garble, margin_sums, repair, restore, validated_margin
 
 CLEAN = [
     "Die Übersicht über die größten Gärten während der Prüfung erklärt die Fußnote für ältere Geräte.",
@@ -66,6 +68,22 @@ def test_empty_and_null(spark):
     assert [r.doc_id for r in restore(nulls, fitted=(counts, margin)).collect()] == [2, 2]
 
 
+def test_the_margin_is_validated_on_all_words(spark):
+    """A false alarm counts, whichever of very many words it is."""
+    clean = [f"{a}{b}ü{c}{d}" for a, b, c, d in itertools.product(("gr", "pr", "br", "st", "fl", "kl", "tr", "sp"), "aeiou", ("ft", "ck", "nd", "rt", "lz", "ng", "ß", "ll"), ("", "e", "en", "er", "es", "ig", "lich", "ung"))]
+    words = spark.createDataFrame([(w, 1.0) for w in clean], "word string, n double")
+    counts = _ngram_counts(words)
+    sums = margin_sums(counts, words)
+    garbled = sum((x := garble(w, wr, r)) is not None and x != w for w in clean for r, wr in ON_PURPOSE)
+    assert len(clean) > 2500 and sorted(r.margin for r in sums) == sorted(MARGINS)
+    assert all((r["false"], r.weight, r.garbled) == (0.0, len(clean), garbled) for r in sums)
+    for w in ("grüft", "klückung", "spründen", "trürtlich"):
+        more = words.unionByName(spark.createDataFrame([(garble(w, "utf-8", "cp1252"), 5.0)], words.schema))
+        wrong = margin_sums(counts, more)
+        assert all((r["false"], r.weight) == (5.0, len(clean) + 5.0) for r in wrong if r.margin < 8) and validated_margin(wrong) >= 8
+    assert validated_margin(margin_sums(counts, words.limit(0))) == MARGINS[-1]
+
+
 def test_hot_mistakes_stay_mistakes(spark):
     # half of the texts are clean; one garbled text is copied, or a source has one mistake throughout
     clean = [(i, f"{CLEAN[1]} Folio {i} à côté de la bibliothèque.", f"s{i % 40}") for i in range(400)]
